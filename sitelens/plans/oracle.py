@@ -101,6 +101,9 @@ FROM page p LEFT JOIN users u ON u.user_id = p.user_id"""
 
 
 def oracle_sql() -> dict[str, str]:
+    from sitelens.plans.oracle_audit import audit_sql
+
     out = {}
     out.update(stats_sql())
+    out.update(audit_sql())
     return out

@@ -109,3 +109,209 @@ def t9(spark, sf_dir):
     t = Tables(spark, sf_dir)
     rows = st.listing_page(t.statistics(), "week", P.as_of, 1)
     return st.statistics_view(rows, t.users())
+
+
+# ------------------------------------------------------------- page audit
+from sitelens.functions.text import byte_length  # noqa: E402
+from sitelens.operators import extract as ex  # noqa: E402
+from sitelens.operators import scores as sc  # noqa: E402
+from sitelens.plans import audit  # noqa: E402
+from sitelens.sources.captures import normalize_crawl, normalize_robots  # noqa: E402
+
+
+def _reports(spark, sf_dir) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return audit.assemble_reports(t.crawl(), t.robots(), t.sitemaps())
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return audit.page_scorecard(t.crawl(), t.robots(), t.sitemaps())
+
+
+@register("s1_crawl_scan")
+def s1(spark, sf_dir):
+    c = normalize_crawl(Tables(spark, sf_dir).crawl())
+    return c.select(
+        "page_id", "url", F.col("status").cast("bigint").alias("status"), byte_length("body").alias("body_bytes"),
+        F.array_join(F.array_sort(F.map_keys("headers")), ",").alias("header_names"),
+    )
+
+
+@register("s2_robots_scan")
+def s2(spark, sf_dir):
+    r = normalize_robots(Tables(spark, sf_dir).robots())
+    return r.select("robots_url", F.col("status").cast("bigint").alias("status"), byte_length("content").alias("content_bytes"))
+
+
+@register("s3_sitemap_scan")
+def s3(spark, sf_dir):
+    return Tables(spark, sf_dir).sitemaps().select("sitemap_url", F.col("status").cast("bigint").alias("status"))
+
+
+@register("h0_elements")
+def h0(spark, sf_dir):
+    return ex.extract_elements(normalize_crawl(Tables(spark, sf_dir).crawl()))
+
+
+def _features(spark, sf_dir) -> DataFrame:
+    return audit.page_features(Tables(spark, sf_dir).crawl())
+
+
+@register("h1_h5_head_fields")
+def h1_5(spark, sf_dir):
+    s = F.col("seo")
+    return _features(spark, sf_dir).select(
+        "page_id", s["title"].alias("title"), s["meta_description"].alias("meta_description"),
+        s["canonical"].alias("canonical"), s["robots_meta"].alias("robots_meta"), s["viewport"].alias("viewport"),
+    )
+
+
+@register("h6_headings")
+def h6(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    parts = [
+        F.struct(F.lit(f"h{k}").alias("level"), F.col("seo.headings")[f"h{k}"].alias("texts")) for k in range(1, 7)
+    ]
+    x = f.select("page_id", F.explode(F.array(*parts)).alias("h"))
+    return x.select(
+        "page_id", F.col("h.level").alias("level"), F.size("h.texts").cast("bigint").alias("n"),
+        F.array_join("h.texts", "|").alias("texts"),
+    )
+
+
+@register("h7_images")
+def h7(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    x = f.select("page_id", F.posexplode("seo.images").alias("pos", "img"))
+    return x.select("page_id", F.col("pos").cast("bigint").alias("pos"), "img.src", "img.alt", "img.has_alt")
+
+
+@register("h8_image_counts")
+def h8(spark, sf_dir):
+    return _features(spark, sf_dir).select("page_id", "seo.total_images", "seo.images_without_alt")
+
+
+def _map_long(field: str) -> QueryFn:
+    def q(spark, sf_dir):
+        f = _features(spark, sf_dir)
+        return f.select("page_id", F.explode(F.col("seo")[field]).alias("key", "value"))
+
+    return q
+
+
+register("h9_open_graph")(_map_long("open_graph"))
+register("h10_twitter_card")(_map_long("twitter_card"))
+
+
+@register("h11_schema")
+def h11(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return f.select(
+        "page_id", F.size("seo.schema").cast("bigint").alias("n_schema"), F.array_join("seo.schema", "\n").alias("schema_text"),
+        F.col("seo.has_schema").alias("has_schema"),
+    )
+
+
+@register("h12_links")
+def h12(spark, sf_dir):
+    return _features(spark, sf_dir).select("page_id", "seo.internal_links", "seo.external_links")
+
+
+@register("h13_seo_record")
+def h13(spark, sf_dir):
+    s = F.col("seo")
+    return _features(spark, sf_dir).select(
+        "page_id", s["title"].alias("title"), s["title_length"].alias("title_length"),
+        s["meta_description"].alias("meta_description"), s["meta_desc_length"].alias("meta_desc_length"),
+        s["canonical"].alias("canonical"), s["robots_meta"].alias("robots_meta"), s["viewport"].alias("viewport"),
+        F.size(s["headings"]["h1"]).cast("bigint").alias("h1_count"),
+        s["images_without_alt"].alias("images_without_alt"), s["total_images"].alias("total_images"),
+        s["has_og"].alias("has_og"), s["has_twitter"].alias("has_twitter"), s["has_schema"].alias("has_schema"),
+        s["internal_links"].alias("internal_links"), s["external_links"].alias("external_links"),
+        s["is_noindex"].alias("is_noindex"),
+    )
+
+
+@register("h14_page_size")
+def h14(spark, sf_dir):
+    return _features(spark, sf_dir).select("page_id", "html_meta.page_size_bytes", "html_meta.page_size_kb")
+
+
+@register("p1_http")
+def p1(spark, sf_dir):
+    return _reports(spark, sf_dir).select("page_id", "http.status_code", "http.status_ok", "http.is_redirect", "http.final_url", "http.https")
+
+
+@register("p2_headers")
+def p2(spark, sf_dir):
+    return _reports(spark, sf_dir).select("page_id", "headers.*")
+
+
+@register("p3_security")
+def p3(spark, sf_dir):
+    return _reports(spark, sf_dir).select("page_id", "security.*")
+
+
+@register("p4_p5_robots")
+def p4(spark, sf_dir):
+    r = _reports(spark, sf_dir)
+    return r.select("page_id", F.col("robots.exists").alias("robots_exists"), F.col("robots.url").alias("robots_url"),
+                    F.col("robots.content").alias("robots_content"), F.col("robots.blocks_all").alias("blocks_all"))
+
+
+@register("p6_sitemap")
+def p6(spark, sf_dir):
+    r = _reports(spark, sf_dir)
+    return r.select("page_id", F.col("sitemap.exists").alias("sitemap_exists"), F.col("sitemap.url").alias("sitemap_url"))
+
+
+@register("p8_performance")
+def p8(spark, sf_dir):
+    return _reports(spark, sf_dir).select("page_id", "performance.load_time_ms", "performance.ttfb_ms", "performance.fcp_ms",
+                                          "performance.lcp_ms", "performance.speed_index_ms")
+
+
+@register("p9_mobile")
+def p9(spark, sf_dir):
+    return _reports(spark, sf_dir).select("page_id", "mobile.*")
+
+
+@register("p10_accessibility")
+def p10(spark, sf_dir):
+    return _reports(spark, sf_dir).select("page_id", "accessibility.total_images", "accessibility.images_with_alt",
+                                          "accessibility.images_missing_alt", "accessibility.alt_text_score", "accessibility.notes")
+
+
+@register("p11_technical")
+def p11(spark, sf_dir):
+    return _reports(spark, sf_dir).select("page_id", "technical.status_code", "technical.https", "technical.has_gzip",
+                                          "technical.has_brotli", "technical.cache_control", "technical.server",
+                                          "technical.page_size_kb", "technical.robots_ok", "technical.sitemap_ok")
+
+
+@register("c8_page_scorecard")
+def c8(spark, sf_dir):
+    return _scored(spark, sf_dir).select(
+        "page_id", "url", F.col("scores.overall").alias("overall"), F.col("scores.seo").alias("seo"),
+        F.col("scores.security").alias("security"), F.col("scores.performance").alias("performance"),
+        F.col("scores.mobile").alias("mobile"), F.col("scores.technical").alias("technical"),
+        F.col("scores.accessibility").alias("accessibility"),
+    )
+
+
+@register("c9_bands")
+def c9(spark, sf_dir):
+    r = _scored(spark, sf_dir)
+    return r.select("page_id", F.col("scores.overall").alias("overall"), sc.band(F.col("scores.overall")).alias("band"))
+
+
+@register("c10_summary")
+def c10(spark, sf_dir):
+    r = _scored(spark, sf_dir)
+    return r.select("page_id", sc.auto_summary(F.col("url"), F.col("scores")).alias("summary"))
+
+
+@register("c11_score_cards")
+def c11(spark, sf_dir):
+    return sc.score_cards(_scored(spark, sf_dir))

@@ -29,6 +29,9 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
 def _norm(v):
     if v is None:
         return (0, "")
@@ -63,6 +66,12 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if sorted(s_cols) != sorted(d_cols):
         res.update(ok=False, why=f"columns {sorted(s_cols)} vs {sorted(d_cols)}")
         return res
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    d_types = {d[0]: str(d[1]).upper() for d in rel.description}
+    tdiff = {c: (s_types[c], d_types[c]) for c in s_cols if s_types[c] != d_types[c]}
+    if tdiff:
+        res.update(ok=False, why=f"types differ {tdiff}")
+        return res
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
     if a != b:
         diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
