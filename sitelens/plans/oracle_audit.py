@@ -421,3 +421,129 @@ cards AS (
 )
 SELECT p AS page_id, CAST(ord AS BIGINT) AS ord, key, label, CAST(score AS BIGINT) AS score, {band('score')} AS band FROM cards"""
     return q
+
+
+def fmt_ms(x: str) -> str:
+    return (f"(CASE WHEN {x} >= 1000 THEN CAST((({x} + 5) // 10) // 100 AS VARCHAR) || '.' || "
+            f"lpad(CAST((({x} + 5) // 10) % 100 AS VARCHAR), 2, '0') || 's' ELSE CAST({x} AS VARCHAR) || 'ms' END)")
+
+
+def _metric(x: str) -> str:
+    return f"(CASE WHEN coalesce({x}, 0) <> 0 THEN {fmt_ms(x)} ELSE '—' END)"
+
+
+def _pf(c: str) -> str:
+    return f"(CASE WHEN coalesce({c}, false) THEN 'pass' ELSE 'fail' END)"
+
+
+def _or(v: str, fb: str) -> str:
+    return f"(CASE WHEN coalesce({v}, '') <> '' THEN {v} ELSE {lit(fb)} END)"
+
+
+def checks_sql() -> dict[str, str]:
+    good = lambda c: f"(CASE WHEN coalesce({c}, true) THEN 'good' ELSE 'warn' END)"
+    na = "NULL"
+    rows = [
+        ("performance", 0, "Load Time", good("load_time_ms < 2000"), _metric("load_time_ms")),
+        ("performance", 1, "TTFB", good("ttfb_ms < 200"), _metric("ttfb_ms")),
+        ("performance", 2, "First Contentful Paint", good("fcp_ms < 1800"), _metric("fcp_ms")),
+        ("performance", 3, "Largest Contentful Paint", good("lcp_ms < 2500"), _metric("lcp_ms")),
+        ("performance", 4, "Cumulative Layout Shift", "'good'", "'N/A'"),
+        ("performance", 5, "Speed Index", good("speed_index_ms < 3400"), _metric("speed_index_ms")),
+        ("seo", 0, "Page Title", _pf("title <> ''"), _or("title", "Missing")),
+        ("seo", 1, "Meta Description", _pf("meta_description <> ''"), _or("meta_description", "Missing")),
+        ("seo", 2, "Canonical URL", _pf("canonical <> ''"), _or("canonical", "Missing")),
+        ("seo", 3, "Robots Meta", _pf("NOT is_noindex"), _or("robots_meta", "Not set (indexable by default)")),
+        ("seo", 4, "Open Graph", _pf("has_og"), "(CASE WHEN has_og THEN 'Present' ELSE 'Missing' END)"),
+        ("seo", 5, "Twitter Cards", _pf("has_twitter"), "(CASE WHEN has_twitter THEN 'Present' ELSE 'Missing' END)"),
+        ("seo", 6, "Schema.org", _pf("has_schema"), "(CASE WHEN has_schema THEN CAST(len(schema) AS VARCHAR) || ' type(s)' ELSE 'Missing' END)"),
+        ("seo", 7, "H1 Tag", _pf("len(h1) > 0"), _or("array_to_string(h1, ', ')", "Missing")),
+        ("seo", 8, "robots.txt", _pf("robots_exists"), "(CASE WHEN robots_exists THEN robots_url ELSE 'Not found' END)"),
+        ("seo", 9, "sitemap.xml", _pf("sitemap_exists"), "(CASE WHEN sitemap_exists THEN sitemap_url ELSE 'Not found' END)"),
+        ("seo", 10, "HTTPS", _pf("https"), "(CASE WHEN https THEN 'Active' ELSE 'Not active' END)"),
+        ("seo", 11, "Indexable", _pf("NOT is_noindex AND NOT blocks_all"),
+         "(CASE WHEN is_noindex THEN 'Blocked by noindex' WHEN blocks_all THEN 'Blocked by robots.txt' ELSE 'Indexable' END)"),
+        ("links", 0, "Internal Links", na, "CAST(internal_links AS VARCHAR)"),
+        ("links", 1, "External Links", na, "CAST(external_links AS VARCHAR)"),
+        ("links", 2, "Images", na, "CAST(total_images AS VARCHAR)"),
+        ("links", 3, "Missing Alt Text", "(CASE WHEN images_without_alt > 0 THEN 'warn' ELSE 'good' END)", "CAST(images_without_alt AS VARCHAR)"),
+        ("security", 0, "HTTPS", _pf("https"), "(CASE WHEN https THEN 'Active' ELSE 'Not active' END)"),
+        ("security", 1, "HSTS", _pf("has_hsts"), _or("h_hsts", "Not set")),
+        ("security", 2, "Content Security Policy", _pf("has_csp"),
+         "(CASE WHEN coalesce(h_csp, '') <> '' THEN substr(h_csp, 1, 80) || '…' ELSE 'Not set' END)"),
+        ("security", 3, "X-Frame-Options", _pf("has_x_frame"), _or("h_xfo", "Not set")),
+        ("security", 4, "XSS Protection", _pf("has_xss_prot"), _or("h_xss", "Not set")),
+        ("security", 5, "Referrer Policy", _pf("has_referrer"), _or("h_referrer", "Not set")),
+        ("security", 6, "X-Content-Type-Options", _pf("has_x_content"), _or("h_xcto", "Not set")),
+        ("security", 7, "Permissions Policy", _pf("coalesce(h_pp, '') <> ''"), _or("h_pp", "Not set")),
+        ("mobile", 0, "Viewport meta tag", _pf("has_viewport"), _or("viewport", "Missing")),
+        ("mobile", 1, "Responsive design", _pf("is_responsive"), "(CASE WHEN is_responsive THEN 'Detected' ELSE 'Not detected' END)"),
+        ("mobile", 2, "Touch-friendly", _pf("is_responsive"), "(CASE WHEN is_responsive THEN 'Likely yes' ELSE 'Uncertain' END)"),
+        ("technical", 0, "HTTP Status", _pf("status_code = 200"), "CAST(status_code AS VARCHAR)"),
+        ("technical", 1, "HTTPS", _pf("https"), "(CASE WHEN https THEN 'Active' ELSE 'Not active' END)"),
+        ("technical", 2, "Compression", _pf("has_gzip OR has_brotli"),
+         "(CASE WHEN has_brotli THEN 'Brotli' WHEN has_gzip THEN 'Gzip' ELSE 'None' END)"),
+        ("technical", 3, "Cache-Control", "(CASE WHEN coalesce(h_cache_control, '') <> '' THEN 'pass' ELSE 'warn' END)",
+         _or("h_cache_control", "Not set")),
+        ("technical", 4, "robots.txt", _pf("robots_ok"), "(CASE WHEN robots_ok THEN 'OK' ELSE 'Missing or blocking all' END)"),
+        ("technical", 5, "Sitemap", "(CASE WHEN sitemap_exists THEN 'pass' ELSE 'warn' END)",
+         "(CASE WHEN sitemap_exists THEN 'Found' ELSE 'Not found' END)"),
+        ("server", 0, "Server", na, _or("h_server", "Unknown")),
+        ("server", 1, "Content-Type", na, _or("h_content_type", "—")),
+        ("server", 2, "Page Size", na,
+         "(CASE WHEN page_size_kb = floor(page_size_kb) THEN CAST(CAST(page_size_kb AS BIGINT) AS VARCHAR) "
+         "ELSE CAST(page_size_kb AS VARCHAR) END) || ' KB'"),
+        ("accessibility", 0, "Image alt texts", _pf("total_images - images_with_alt = 0"),
+         "CAST(images_with_alt AS VARCHAR) || ' / ' || CAST(total_images AS VARCHAR) || ' images with alt'"),
+    ]
+    parts = [
+        f"SELECT p AS page_id, {lit(t)} AS tab, CAST({o} AS BIGINT) AS ord, {lit(lb)} AS label, CAST({st} AS VARCHAR) AS status, "
+        f"CAST({d} AS VARCHAR) AS detail FROM scored"
+        for t, o, lb, st, d in rows
+    ]
+    q = {"k_page_checks": BASE + "\n" + "\nUNION ALL ".join(parts)}
+    q["k9_format_ms"] = f"""{BASE},
+x AS (SELECT p, unnest([load_time_ms, fcp_ms, lcp_ms, speed_index_ms]) AS ms FROM scored)
+SELECT p AS page_id, ms, {fmt_ms('ms')} AS shown FROM x WHERE ms IS NOT NULL"""
+    return q
+
+
+RULES_SQL = [
+    ("title = ''", "'Add a page title'", "Every page needs a descriptive title tag (30–70 characters).", "critical", "seo"),
+    ("meta_description = ''", "'Add a meta description'", "Meta descriptions (120–160 chars) improve click-through rates in search results.", "high", "seo"),
+    ("NOT https", "'Enable HTTPS'", "HTTPS is required for security and is a ranking signal for Google.", "critical", "security"),
+    ("NOT has_hsts", "'Add HSTS header'", "Strict-Transport-Security header prevents protocol downgrade attacks.", "high", "security"),
+    ("NOT has_csp", "'Add Content Security Policy'", "CSP header reduces XSS attack surface significantly.", "high", "security"),
+    ("NOT is_responsive", "'Add responsive viewport'",
+     'Missing viewport meta tag will cause poor mobile experience. Add <meta name="viewport" content="width=device-width, initial-scale=1">.',
+     "critical", "mobile"),
+    ("NOT has_og", "'Add Open Graph tags'", "OG tags control how your page appears when shared on social networks.", "medium", "seo"),
+    ("NOT has_schema", "'Add Schema.org markup'", "Structured data helps search engines understand your content and enables rich results.", "medium", "seo"),
+    ("NOT has_gzip AND NOT has_brotli", "'Enable compression'", "Enable Gzip or Brotli compression to reduce page size and improve load times.", "high", "technical"),
+    ("images_without_alt > 0", "'Fix ' || CAST(images_without_alt AS VARCHAR) || ' missing alt texts'",
+     "Alt text improves accessibility and helps search engines understand image content.", "medium", "seo"),
+    ("NOT sitemap_exists", "'Add a sitemap'", "A sitemap.xml helps search engines discover and crawl all your pages.", "medium", "seo"),
+]
+PRANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
+
+
+def recs_sql() -> dict[str, str]:
+    parts = [
+        f"SELECT p, {i} AS ord, {PRANK[pr]} AS prank, {title} AS title, {lit(desc)} AS description, {lit(pr)} AS priority, "
+        f"{lit(cat)} AS category FROM scored WHERE {cond}"
+        for i, (cond, title, desc, pr, cat) in enumerate(RULES_SQL)
+    ]
+    q = {}
+    q["r1_r2_recommendations"] = f"""{BASE},
+recs AS ({' UNION ALL '.join(parts)})
+SELECT p AS page_id, CAST(row_number() OVER (PARTITION BY p ORDER BY prank, ord) - 1 AS BIGINT) AS rank,
+       title, description, priority, category, 'rules' AS source
+FROM recs"""
+    csv = [("Overall", "s_overall"), ("SEO", "s_seo"), ("Security", "s_security"), ("Performance", "s_performance"),
+           ("Mobile", "s_mobile"), ("Technical", "s_technical"), ("Accessibility", "s_accessibility")]
+    lines = [f"SELECT p AS page_id, CAST(0 AS BIGINT) AS ord, '\"Category\",\"Score\"' AS line FROM scored"] + [
+        f"SELECT p, CAST({i + 1} AS BIGINT), '\"{lab}\",\"' || replace(coalesce(CAST({col} AS VARCHAR), ''), '\"', '\"\"') || '\"' FROM scored"
+        for i, (lab, col) in enumerate(csv)
+    ]
+    q["s10_scores_csv"] = BASE + "\n" + "\nUNION ALL ".join(lines)
+    return q

@@ -315,3 +315,38 @@ def c10(spark, sf_dir):
 @register("c11_score_cards")
 def c11(spark, sf_dir):
     return sc.score_cards(_scored(spark, sf_dir))
+
+
+# ------------------------------------------------------ checks, recommendations, exports
+from sitelens.operators.checks import format_ms, page_checks  # noqa: E402
+from sitelens.operators.recommend import recommendations  # noqa: E402
+from sitelens.sources import exports  # noqa: E402
+
+
+@register("k_page_checks")
+def k_checks(spark, sf_dir):
+    return page_checks(_scored(spark, sf_dir))
+
+
+@register("k9_format_ms")
+def k9(spark, sf_dir):
+    r = _scored(spark, sf_dir)
+    x = r.select("page_id", F.explode(F.array(
+        F.col("performance.load_time_ms"), F.col("performance.fcp_ms"), F.col("performance.lcp_ms"),
+        F.col("performance.speed_index_ms"))).alias("ms")).where(F.col("ms").isNotNull())
+    return x.select("page_id", "ms", format_ms(F.col("ms")).alias("shown"))
+
+
+@register("r1_r2_recommendations")
+def r12(spark, sf_dir):
+    return recommendations(_scored(spark, sf_dir))
+
+
+@register("s9_report_json")
+def s9(spark, sf_dir):
+    return exports.report_json(_scored(spark, sf_dir).drop("timestamp"))
+
+
+@register("s10_scores_csv")
+def s10(spark, sf_dir):
+    return exports.scores_csv_lines(_scored(spark, sf_dir))
