@@ -108,4 +108,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(audit_sql())
     out.update(checks_sql())
     out.update(recs_sql())
+    from sitelens.plans.oracle_frontier import frontier_sql
+
+    out.update(frontier_sql())
     return out

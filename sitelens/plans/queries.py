@@ -350,3 +350,39 @@ def s9(spark, sf_dir):
 @register("s10_scores_csv")
 def s10(spark, sf_dir):
     return exports.scores_csv_lines(_scored(spark, sf_dir))
+
+
+# ------------------------------------------------------------- frontier and redirects
+from sitelens.functions.url import domain_of  # noqa: E402
+from sitelens.operators import frontier as fr  # noqa: E402
+
+
+@register("u11_validate_frontier")
+def u11(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return fr.validate_frontier(t.frontier(), t.dns())
+
+
+@register("u12_domain")
+def u12(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    ok, _ = fr.split_frontier(fr.validate_frontier(t.frontier(), t.dns()))
+    return ok.select("request_id", domain_of(F.col("valid_url")).alias("domain"))
+
+
+@register("u13_client_ip")
+def u13(spark, sf_dir):
+    r = Tables(spark, sf_dir).requests()
+    return r.select("request_id", fr.client_ip(["cf_ip", "real_ip", "xff", "remote_addr"]).alias("client_ip"))
+
+
+@register("d1_redirect_target")
+def d1(spark, sf_dir):
+    r = Tables(spark, sf_dir).redirects()
+    return r.select("url", "location", fr.redirect_target(F.col("url"), F.col("location")).alias("target"))
+
+
+@register("d2_resolve_redirects")
+def d2(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return fr.resolve_redirects(t.redirect_start(), t.redirects(), t.dns())
