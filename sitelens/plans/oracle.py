@@ -111,4 +111,7 @@ def oracle_sql() -> dict[str, str]:
     from sitelens.plans.oracle_frontier import frontier_sql
 
     out.update(frontier_sql())
+    from sitelens.plans.oracle_review import review_sql
+
+    out.update(review_sql())
     return out

@@ -386,3 +386,75 @@ def d1(spark, sf_dir):
 def d2(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return fr.resolve_redirects(t.redirect_start(), t.redirects(), t.dns())
+
+
+# ------------------------------------------------------------- model review batch
+from sitelens.operators import review as rv  # noqa: E402
+
+
+def _parsed(spark, sf_dir) -> DataFrame:
+    return rv.parse_responses(Tables(spark, sf_dir).ai_responses())
+
+
+def _merged(spark, sf_dir) -> DataFrame:
+    return rv.merge_reviews(_scored(spark, sf_dir), _parsed(spark, sf_dir))
+
+
+@register("a1_payload")
+def a1(spark, sf_dir):
+    p = rv.review_payload(_scored(spark, sf_dir))
+    return p.select("page_id", F.size("payload.seo.images").cast("bigint").alias("payload_images"),
+                    F.col("payload.seo.total_images").alias("total_images"))
+
+
+@register("a2_prompt")
+def a2(spark, sf_dir):
+    return rv.review_requests(_scored(spark, sf_dir).drop("timestamp"))
+
+
+@register("a3_parse_responses")
+def a3(spark, sf_dir):
+    p = _parsed(spark, sf_dir)
+    ai = rv.review_struct(F.col("text"))
+    return p.select("page_id", "url", "ok", "error_message", ai["has_overall"].alias("has_overall"),
+                    ai["overall_score"].alias("overall_score"), ai["summary"].alias("summary"),
+                    ai["ratings"]["seo"].alias("rating_seo"), F.size(ai["recommendations"]).cast("bigint").alias("n_recommendations"))
+
+
+@register("a4_merge_overall")
+def a4(spark, sf_dir):
+    m = _merged(spark, sf_dir)
+    return m.select("page_id", F.col("scores.overall").alias("overall"), F.col("ai").isNotNull().alias("has_review"))
+
+
+@register("a5_summary")
+def a5(spark, sf_dir):
+    m = _merged(spark, sf_dir)
+    return m.select("page_id", rv.summary_with_review(sc.auto_summary(F.col("url"), F.col("scores"))).alias("summary"))
+
+
+@register("a5_score_cards")
+def a5c(spark, sf_dir):
+    return sc.score_cards(_merged(spark, sf_dir))
+
+
+@register("a6_issues")
+def a6(spark, sf_dir):
+    return rv.review_issues(_parsed(spark, sf_dir))
+
+
+@register("a6_tips")
+def a6t(spark, sf_dir):
+    return rv.review_tips(_parsed(spark, sf_dir))
+
+
+@register("a7_request_validity")
+def a7(spark, sf_dir):
+    r = Tables(spark, sf_dir).ai_responses()
+    payload = F.get_json_object("body", "$.candidates[0].content.parts[0].text")
+    return r.select("page_id", rv.valid_review_request(payload).alias("valid"))
+
+
+@register("r3_recommendations_ai")
+def r3(spark, sf_dir):
+    return recommendations(_merged(spark, sf_dir))
