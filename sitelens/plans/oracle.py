@@ -114,4 +114,7 @@ def oracle_sql() -> dict[str, str]:
     from sitelens.plans.oracle_review import review_sql
 
     out.update(review_sql())
+    from sitelens.plans.oracle_stream import stream_sql
+
+    out.update(stream_sql())
     return out

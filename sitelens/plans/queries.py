@@ -458,3 +458,80 @@ def a7(spark, sf_dir):
 @register("r3_recommendations_ai")
 def r3(spark, sf_dir):
     return recommendations(_merged(spark, sf_dir))
+
+
+# ------------------------------------------------------------- rate limiting and streams
+import uuid  # noqa: E402
+
+from sitelens.session import shared_path  # noqa: E402
+from sitelens.sources.statistics import outcomes_to_statistics  # noqa: E402
+from sitelens.streaming import ratelimit as rl  # noqa: E402
+from sitelens.streaming import sinks  # noqa: E402
+
+
+def _rl_out(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").alias("request_id"), "key", "accepted", "count_in_window")
+
+
+@register("w1_rate_limit_batch")
+def w1(spark, sf_dir):
+    r = Tables(spark, sf_dir).requests()
+    return _rl_out(rl.rate_limit(r, F.col("event_type"), F.col("ts"), "request_id", 2))
+
+
+@register("w2_rate_limit_refresh")
+def w2(spark, sf_dir):
+    r = Tables(spark, sf_dir).requests()
+    return _rl_out(rl.rate_limit(r, F.col("event_type"), F.col("ts"), "request_id", 2, refresh_on_accept=True))
+
+
+@register("w3_w4_admission")
+def w34(spark, sf_dir):
+    r = Tables(spark, sf_dir).requests()
+    keyed = rl.admission_keys(r, fr.client_ip(["cf_ip", "real_ip", "xff", "remote_addr"]), 10, 5)
+    return _rl_out(rl.rate_limit(keyed, F.col("rl_key"), F.col("ts"), "request_id", F.col("rl_limit")))
+
+
+def _as_file_stream(spark, df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(spark, "sources", f"{name}-{uuid.uuid4().hex[:8]}")
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@register("w1_rate_limit_stream")
+def w1s(spark, sf_dir):
+    r = Tables(spark, sf_dir).requests().select("request_id", "ts", "event_type")
+    stream = _as_file_stream(spark, r, "requests")
+    out = rl.stream_rate_limit(stream, F.col("event_type"), "ts", "request_id", 2)
+    return _rl_out(sinks.run_to_parquet(out, spark, "w1"))
+
+
+def _outcomes(spark, sf_dir) -> DataFrame:
+    c = Tables(spark, sf_dir).crawl()
+    return c.select(F.col("page_id").alias("request_id"), F.col("url").alias("submitted_url"), "duration_ms",
+                    (F.col("status") < 400).alias("success"), "user_id", F.col("fetched_at").alias("created_at"))
+
+
+def _stats_out(df: DataFrame) -> DataFrame:
+    return df.select("id", "domain", F.col("duration_ms").cast("bigint").alias("duration_ms"), "success", "ip_address",
+                     "user_id", "user_agent", ts_str().alias("created_at"))
+
+
+@register("s6_outcomes_to_statistics")
+def s6(spark, sf_dir):
+    return _stats_out(outcomes_to_statistics(_outcomes(spark, sf_dir)))
+
+
+@register("w5_stream_record")
+def w5(spark, sf_dir):
+    stream = _as_file_stream(spark, _outcomes(spark, sf_dir), "outcomes")
+    run = uuid.uuid4().hex[:8]
+    out, ck = shared_path(spark, "tables", f"statistics-{run}"), shared_path(spark, "streams", f"record-{run}")
+    sinks.record_stream(stream, out, ck).awaitTermination()
+    return _stats_out(spark.read.parquet(out))
+
+
+@register("w6_stream_daily_counts")
+def w6(spark, sf_dir):
+    stream = _as_file_stream(spark, Tables(spark, sf_dir).statistics(), "statistics")
+    return sinks.run_to_parquet(sinks.daily_counts_stream(stream), spark, "w6", mode="complete")
