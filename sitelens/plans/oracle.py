@@ -101,13 +101,14 @@ FROM page p LEFT JOIN users u ON u.user_id = p.user_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    from sitelens.plans.oracle_audit import audit_sql, checks_sql, recs_sql
+    from sitelens.plans.oracle_audit import audit_sql, checks_sql, recs_sql, rollup_sql
 
     out = {}
     out.update(stats_sql())
     out.update(audit_sql())
     out.update(checks_sql())
     out.update(recs_sql())
+    out.update(rollup_sql())
     from sitelens.plans.oracle_frontier import frontier_sql
 
     out.update(frontier_sql())

@@ -547,3 +547,19 @@ FROM recs"""
     ]
     q["s10_scores_csv"] = BASE + "\n" + "\nUNION ALL ".join(lines)
     return q
+
+
+def rollup_sql() -> dict[str, str]:
+    q = {}
+    checks = checks_sql()["k_page_checks"]
+    q["g1_check_pass_rates"] = f"""WITH ck AS ({checks})
+SELECT tab, ord, label, count(*) AS pages, avg(CASE WHEN status IN ('pass', 'good') THEN 1.0 ELSE 0.0 END)::DOUBLE AS pass_rate
+FROM ck WHERE status IS NOT NULL GROUP BY tab, ord, label"""
+    q["g2_host_scorecard"] = f"""{BASE}
+SELECT {host('u')} AS host, count(*) AS pages, avg(s_overall)::DOUBLE AS avg_overall, min(s_overall) AS min_overall, max(s_overall) AS max_overall
+FROM scored GROUP BY 1"""
+    recs = recs_sql()["r1_r2_recommendations"]
+    q["g3_recommendation_rollup"] = f"""WITH rr AS ({recs})
+SELECT priority, category, count(*) AS n, CAST(grouping(priority, category) AS BIGINT) AS level
+FROM rr GROUP BY ROLLUP (priority, category)"""
+    return q

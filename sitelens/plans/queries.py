@@ -535,3 +535,22 @@ def w5(spark, sf_dir):
 def w6(spark, sf_dir):
     stream = _as_file_stream(spark, Tables(spark, sf_dir).statistics(), "statistics")
     return sinks.run_to_parquet(sinks.daily_counts_stream(stream), spark, "w6", mode="complete")
+
+
+# ------------------------------------------------------------- roll-ups
+from sitelens.operators import rollups as ru  # noqa: E402
+
+
+@register("g1_check_pass_rates")
+def g1(spark, sf_dir):
+    return ru.check_pass_rates(page_checks(_scored(spark, sf_dir)))
+
+
+@register("g2_host_scorecard")
+def g2(spark, sf_dir):
+    return ru.host_scorecard(_scored(spark, sf_dir))
+
+
+@register("g3_recommendation_rollup")
+def g3(spark, sf_dir):
+    return ru.recommendation_rollup(recommendations(_scored(spark, sf_dir)))
