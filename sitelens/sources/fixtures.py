@@ -374,7 +374,14 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+        df = read_table(self.spark, self.sf_dir, name)
+        if name == "pages":
+            # The driver's pages table is one small file (one scan task); spread it so the
+            # per-page regex work uses every core.  Real capture tables arrive as many files.
+            par = self.spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < par:
+                df = df.repartition(par)
+        return df
 
     def crawl(self) -> DataFrame:
         return crawl_from_pages(self.raw("pages"))
