@@ -51,9 +51,35 @@ def configure(spark: SparkSession) -> SparkSession:
         except Exception:  # static or locked conf on a managed cluster
             pass
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sitelens`` importable in Python workers (pandas UDFs, applyInPandas).
+
+    The package is zipped on the driver and distributed by Spark itself
+    (``addPyFile``), once per SparkContext; executors never read a driver path.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the package must be installed on the cluster
+        return
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import shutil
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="sitelens-pyfiles-")  # driver-side staging for Spark's file server
+    archive = shutil.make_archive(os.path.join(staging, "sitelens"), "zip", os.path.dirname(pkg), "sitelens")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and streaming state.
 
