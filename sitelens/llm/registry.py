@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from sitelens.llm import (  # noqa: F401
     q_bpe,
+    q_chat,
+    q_exact,
     q_url,
 )
 from sitelens.llm.base import ORACLE, QUERIES  # noqa: F401
