@@ -6,6 +6,7 @@ from sitelens.llm import (  # noqa: F401
     q_bpe,
     q_chat,
     q_exact,
+    q_pack,
     q_url,
 )
 from sitelens.llm.base import ORACLE, QUERIES  # noqa: F401
