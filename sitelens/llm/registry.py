@@ -7,6 +7,7 @@ from sitelens.llm import (  # noqa: F401
     q_chat,
     q_exact,
     q_pack,
+    q_toxic,
     q_url,
 )
 from sitelens.llm.base import ORACLE, QUERIES  # noqa: F401
