@@ -6,6 +6,7 @@ from sitelens.llm import (  # noqa: F401
     q_bpe,
     q_chat,
     q_exact,
+    q_fingerprint,
     q_pack,
     q_toxic,
     q_url,
