@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-SCALE = 8
+SCALE = 4
 #: Signed 64-bit hashes below this are the lowest 1/SCALE of the range.
 THRESHOLD = -(1 << 63) + (1 << 64) // SCALE
 

@@ -7,6 +7,7 @@ from sitelens.llm import (  # noqa: F401
     q_chat,
     q_exact,
     q_fingerprint,
+    q_lm,
     q_pack,
     q_toxic,
     q_url,
