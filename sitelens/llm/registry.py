@@ -8,6 +8,7 @@ from sitelens.llm import (  # noqa: F401
     q_exact,
     q_fingerprint,
     q_lm,
+    q_near,
     q_pack,
     q_toxic,
     q_url,
