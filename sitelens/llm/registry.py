@@ -10,6 +10,7 @@ from sitelens.llm import (  # noqa: F401
     q_lm,
     q_near,
     q_pack,
+    q_suffix,
     q_toxic,
     q_url,
 )
