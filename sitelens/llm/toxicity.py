@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, max_r
     return Model({f: float(v) for f, v in zip(vocabulary, w, strict=True) if abs(v) > 1e-6}, b)
 
 
-def _scorer(model: Model):
+def scorer(model: Model):
     memo: dict[str, list[tuple[str, float]]] = {}
 
     def known(w: str) -> list[tuple[str, float]]:
@@ -212,5 +212,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``; same-named columns are replaced."""
     (s,) = fresh(docs, "score")
     base = docs.drop("score", "predicted")
-    out = base.withColumn(s, _scorer(model)(text_or_empty()))
+    out = base.withColumn(s, scorer(model)(text_or_empty()))
     return out.withColumns({"score": F.col(s), "predicted": (F.col(s) >= 0.5).cast("int")}).drop(s)
