@@ -17,7 +17,7 @@ task by task, with the weight table (at most ``max_features`` entries).
 Defined cases: null text is empty and scores the intercept; labels that are null,
 or whose document is missing, are ignored; a document labelled more than once is
 toxic if any label says so; without labels of both kinds every score is the
-smoothed share of toxic labels; extra columns pass through.
+smoothed share of toxic labels (a third if there are none); extra columns pass through.
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, max_r
     sample = labelled_sample(docs, labels, allowed, max_rows)
     vocabulary, pos, neg = choose(sample, max_features, identity)
     if not vocabulary:
-        return Model({}, float(np.log((pos + 0.5) / (neg + 0.5))))
+        return Model({}, float(np.log((pos + 0.5) / (neg + 1.0))))  # leans to clean
     rows = sample.mapInPandas(_rows(vocabulary, identity), "y int, x array<int>, d array<array<int>>").collect()
     k = len(vocabulary)
     x = _Sparse([np.asarray(r["x"], dtype=np.int64) for r in rows], None, k)
