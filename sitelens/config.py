@@ -7,14 +7,12 @@ from datetime import datetime
 
 # Fixed values that must equal the reference's for equal results.
 # Option defaults: analyses per hour 10 (allowed 1..100), AI analyses per hour 5,
-# rate window 3600 s, body cap 1048576 bytes, robots/sitemap cap 262144 bytes,
+# rate window 3600 s,
 # redirect hops 0..5 (six requests), listing page size 50, top domains 10.
 MAX_ANALYSES_PER_HOUR = 10
 MAX_ANALYSES_MIN, MAX_ANALYSES_MAX = 1, 100
 AI_MAX_PER_HOUR = 5
 RATE_WINDOW_SECONDS = 3600
-BODY_CAP_BYTES = 1048576
-AUX_CAP_BYTES = 262144
 MAX_REQUESTS = 6
 STATS_PER_PAGE = 50
 TOP_DOMAINS = 10

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,20 +11,8 @@ from pyspark.sql import functions as F
 # vertical tab (Spark's trim strips spaces only).
 PHP_TRIM_CHARS = " \t\n\r\x00\x0b"
 
-# Character references decoded in element text and attribute
-# values, applied in this order with "&amp;" last so "&amp;lt;" stays "&lt;".
-ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&#039;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-)
+# Named character references of HTML 4, from the standard library's table.
+NAMED_REFERENCES = {f"{name};": chr(cp) for name, cp in sorted(name2codepoint.items())} | {"apos;": "'"}
 
 
 def col_(c) -> Column:
@@ -40,11 +30,32 @@ def php_empty(c) -> Column:
     return c.isNull() | (c == "") | (c == "0")
 
 
+def _code_point(n: Column) -> Column:
+    """The character of a code point, null where there is none."""
+    ok = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(F.when(ok, n)), 8, "0")), "UTF-32"))
+
+
 def unescape_entities(c) -> Column:
-    out = col_(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Character references decoded once, left to right: ``&#8211;``, ``&#x2013;`` and
+    the named ones of HTML 4 (which need their semicolon).  Anything else stays."""
+    c = col_(c)
+    named = F.create_map(*[F.lit(x) for kv in NAMED_REFERENCES.items() for x in kv])
+
+    def piece(s: Column) -> Column:
+        ref = F.regexp_extract(s, r"^(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*;)", 0)
+        digits = F.regexp_extract(ref, r"^#([0-9]+)", 1)
+        hexits = F.regexp_extract(ref, r"^#[xX]([0-9a-fA-F]+)", 1)
+        char = (
+            F.when(digits != "", _code_point(digits.try_cast("bigint")))
+            .when(hexits != "", _code_point(F.conv(hexits, 16, 10).try_cast("bigint")))
+            .when(ref != "", F.try_element_at(named, ref))
+        )
+        return F.coalesce(F.concat(char, F.substring(s, F.length(ref) + 1, F.length(s))), F.concat(F.lit("&"), s))
+
+    parts = F.split(c, "&", -1)
+    decoded = F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
 def strip_tags(c) -> Column:
@@ -80,8 +91,18 @@ def js_round(c) -> Column:
 
 
 def truncate_bytes(c, cap: int) -> Column:
-    """Keep at most ``cap`` UTF-8 bytes (a response-size limit)."""
+    """At most ``cap`` UTF-8 bytes, cut between characters."""
     c = col_(c)
-    return F.when(F.octet_length(c) <= cap, c).otherwise(
-        F.decode(F.substring(F.encode(c, "UTF-8"), 1, cap), "UTF-8")
-    )
+    raw = F.encode(c, "UTF-8")
+
+    def inside(at: int) -> Column:  # whether byte ``at`` (from 1) continues a character
+        return F.hex(F.substring(raw, at, 1)).rlike("^[89AB]")
+
+    cut = F.lit(cap)
+    for k in range(1, 4):
+        whole = [inside(cap + 1 - j) for j in range(k)]
+        all_inside = whole[0]
+        for w in whole[1:]:
+            all_inside = all_inside & w
+        cut = F.when(all_inside, F.lit(cap - k)).otherwise(cut)
+    return F.when(F.octet_length(c) <= cap, c).otherwise(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"))

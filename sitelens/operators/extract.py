@@ -1,20 +1,19 @@
 """HTML feature extraction (H0-H14) as native Catalyst expressions.
 
 No DOM: a page is scanned with a few linear regex passes inside the JVM
-(whole-stage codegen, no Python per row):
+(built-in expressions, no Python per row):
 
 1. mask comments, then empty the bodies of <script> and <style>;
-2. one scan for the tags that carry features (meta, link, img, a) giving
-   (tag, attribute-string) pairs in document order;
-3. attributes are read from the short attribute strings with flat patterns
-   (never a repeated group: deep backtracking can overflow the JVM stack on a
-   tag with thousands of attributes);
-4. element text (title, headings) by lazy element scans, inner tags stripped,
-   character references decoded, PHP-trimmed.
-
-Features are computed in one projection and then referenced, so each scan is
-evaluated once per page (Catalyst keeps the shared projection because the
-expressions are not cheap to duplicate).
+2. one scan for the tags that carry features (meta, link, img, a), one for
+   headings, one for scripts; each yields an array of matches in document order.
+   The scans stand in a projection of their own and never inside a lambda, so a
+   page is read a fixed number of times however many tags it has;
+3. the pieces of a match (tag, attributes, text) and single attributes are read
+   from the match itself.  Tags end at the first ``>`` outside quotes.  Repeated
+   groups are possessive, which Java runs as a loop: no stack grows with the
+   number of attributes;
+4. element text has inner tags stripped, character references decoded, and is
+   PHP-trimmed.
 """
 
 from __future__ import annotations
@@ -28,30 +27,42 @@ from sitelens.functions.url import url_host
 COMMENT_RE = r"(?s)<!--.*?-->"
 SCRIPT_BODY_RE = r"(?is)(<script\b[^>]*>).*?</script\s*>"
 STYLE_BODY_RE = r"(?is)(<style\b[^>]*>).*?</style\s*>"
-ANY_TAG_RE = r"(?is)<([a-z][a-z0-9]*)([^>]*)>([^<]*)"
-FEATURE_TAG_RE = r"(?i)<(meta|link|img|a)\b([^>]*)>"
-TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-HEADING_RE = r"(?is)<(h[1-6])\b[^>]*>(.*?)</h[1-6]\s*>"
-SCRIPT_RE = r"(?is)<script\b([^>]*)>(.*?)</script\s*>"
+# what may stand between a tag's name and its closing bracket
+_REST = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+'|["'])*+"""
+ANY_TAG_RE = rf"(?is)<[a-z][a-z0-9]*+{_REST}>[^<]*+"
+FEATURE_TAG_RE = rf"(?i)<(?:meta|link|img|a)\b{_REST}>"
+TAG_PARTS_RE = rf"(?is)^<([a-z][a-z0-9]*+)({_REST})>(.*)$"
+TITLE_RE = rf"(?is)<title\b{_REST}>(.*?)</title\s*>"
+HEADING_RE = rf"(?is)<h[1-6]\b{_REST}>.*?</h[1-6]\s*>"
+HEADING_PARTS_RE = rf"(?is)^<(h[1-6])\b{_REST}>(.*)</h[1-6]\s*>$"
+SCRIPT_RE = rf"(?is)<script\b{_REST}>.*?</script\s*>"
+SCRIPT_PARTS_RE = rf"(?is)^<script\b({_REST})>(.*)</script\s*>$"
 
 LD_JSON_TYPE = "application/ld+json"
 # JSON texts PHP treats as false after decoding (blank-free form).
 FALSY_JSON = ["{}", "[]", "0", "0.0", "-0", '""', '"0"', "false", "null"]
 
 
-def _attr_value_re(name: str) -> str:
-    return rf"""(?is)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+_JUNK = r"""[\s/"'=]*+"""
+
+
+def _upto(name: str) -> str:
+    """Pattern from the start of an attribute string through its first ``name``:
+    other attributes are stepped over whole, so text inside values is not seen."""
+    other = rf"""(?!{name}(?:[\s=/"']|$))[^\s"'=>/]++(?:\s*+=\s*+{_VALUE})?+{_JUNK}"""
+    return rf"(?is)^{_JUNK}(?:{other})*+{name}"
 
 
 def attr(attrs: Column, name: str) -> Column:
-    """Decoded value of attribute ``name`` in an attribute string ('' if absent)."""
-    pat = _attr_value_re(name)
-    raw = F.concat(F.regexp_extract(attrs, pat, 1), F.regexp_extract(attrs, pat, 2), F.regexp_extract(attrs, pat, 3))
-    return unescape_entities(raw)
+    """Decoded value of the first attribute ``name`` in an attribute string ('' if absent)."""
+    raw = F.regexp_extract(attrs, rf"{_upto(name)}\s*+=\s*+({_VALUE})", 1)
+    quoted = raw.startswith('"') | raw.startswith("'")
+    return unescape_entities(F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw))
 
 
 def has_attr(attrs: Column, name: str) -> Column:
-    return attrs.rlike(rf"(?is)(?:^|\s){name}(?:\s*=|\s|/|$)")
+    return attrs.rlike(rf"""{_upto(name)}(?:[\s=/"']|$)""")
 
 
 def mask_markup(body: Column) -> Column:
@@ -67,20 +78,14 @@ def extract_elements(pages: DataFrame, id_col: str = "page_id", body_col: str =
     ``text`` is the character data right after the tag, up to the next tag.
     Comments and script/style bodies are not scanned.
     """
-    m = mask_markup(F.col(body_col))
-    tags = pages.select(
-        F.col(id_col),
-        F.regexp_extract_all(m, F.lit(ANY_TAG_RE), 1).alias("n"),
-        F.regexp_extract_all(m, F.lit(ANY_TAG_RE), 2).alias("a"),
-        F.regexp_extract_all(m, F.lit(ANY_TAG_RE), 3).alias("t"),
-    )
-    z = tags.select(id_col, F.posexplode(F.arrays_zip("n", "a", "t")).alias("pos", "e"))
+    found = F.regexp_extract_all(mask_markup(F.col(body_col)), F.lit(ANY_TAG_RE), 0)
+    z = pages.select(id_col, F.posexplode(found).alias("pos", "e"))
     return z.select(
         id_col,
         F.col("pos").cast("bigint").alias("pos"),
-        F.lower(F.col("e.n")).alias("tag"),
-        F.col("e.a").alias("attrs"),
-        F.col("e.t").alias("text"),
+        F.lower(F.regexp_extract("e", TAG_PARTS_RE, 1)).alias("tag"),
+        F.regexp_extract("e", TAG_PARTS_RE, 2).alias("attrs"),
+        F.regexp_extract("e", TAG_PARTS_RE, 3).alias("text"),
     )
 
 
@@ -89,6 +94,13 @@ def _first(arr: Column, pred, field: str) -> Column:
     return F.coalesce(php_trim(hit.getField(field)), F.lit(""))
 
 
+def _last_by_key(metas: Column, field: str, prefix: str) -> Column:
+    """Map of the metas whose ``field`` has the prefix: places by first, values by last occurrence."""
+    some = F.filter(metas, lambda m: m[field].startswith(prefix))
+    keys = F.array_distinct(F.transform(some, lambda m: m[field]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(some, lambda m: m[field] == k), -1)["content"]))
+
+
 def with_page_features(crawl: DataFrame, url_col: str = "url", body_col: str = "body") -> DataFrame:
     """Adds a ``seo`` struct and ``html_meta`` struct; drops the body.
 
@@ -101,20 +113,29 @@ def with_page_features(crawl: DataFrame, url_col: str = "url", body_col: str = "
         mask_markup(body).alias("_masked"),
         F.regexp_replace(body, COMMENT_RE, "").alias("_nocomment"),
     )
-    tag_names = F.regexp_extract_all(F.col("_masked"), F.lit(FEATURE_TAG_RE), 1)
-    tag_attrs = F.regexp_extract_all(F.col("_masked"), F.lit(FEATURE_TAG_RE), 2)
-    head_names = F.regexp_extract_all(F.col("_masked"), F.lit(HEADING_RE), 1)
-    head_texts = F.regexp_extract_all(F.col("_masked"), F.lit(HEADING_RE), 2)
-    scr_attrs = F.regexp_extract_all(F.col("_nocomment"), F.lit(SCRIPT_RE), 1)
-    scr_texts = F.regexp_extract_all(F.col("_nocomment"), F.lit(SCRIPT_RE), 2)
-    stage2 = stage1.select(
+    scanned = stage1.select(
         "*",
-        F.transform(tag_names, lambda n, i: F.struct(F.lower(n).alias("tag"), F.get(tag_attrs, i).alias("a"))).alias("_tags"),
-        F.transform(head_names, lambda n, i: F.struct(F.lower(n).alias("level"), text_content(F.get(head_texts, i)).alias("text"))).alias("_heads"),
-        F.transform(scr_attrs, lambda a, i: F.struct(attr(a, "type").alias("type"), F.get(scr_texts, i).alias("text"))).alias("_scripts"),
+        F.regexp_extract_all(F.col("_masked"), F.lit(FEATURE_TAG_RE), 0).alias("_found_tags"),
+        F.regexp_extract_all(F.col("_masked"), F.lit(HEADING_RE), 0).alias("_found_heads"),
+        F.regexp_extract_all(F.col("_nocomment"), F.lit(SCRIPT_RE), 0).alias("_found_scripts"),
         text_content(F.regexp_extract(F.col("_masked"), TITLE_RE, 1)).alias("_title"),
         byte_length(body).alias("_bytes"),
     ).drop("_masked", "_nocomment", body_col)
+    stage2 = scanned.select(
+        "*",
+        F.transform(
+            "_found_tags",
+            lambda t: F.struct(F.lower(F.regexp_extract(t, TAG_PARTS_RE, 1)).alias("tag"), F.regexp_extract(t, TAG_PARTS_RE, 2).alias("a")),
+        ).alias("_tags"),
+        F.transform(
+            "_found_heads",
+            lambda h: F.struct(F.lower(F.regexp_extract(h, HEADING_PARTS_RE, 1)).alias("level"), text_content(F.regexp_extract(h, HEADING_PARTS_RE, 2)).alias("text")),
+        ).alias("_heads"),
+        F.transform(
+            "_found_scripts",
+            lambda s: F.struct(attr(F.regexp_extract(s, SCRIPT_PARTS_RE, 1), "type").alias("type"), F.regexp_extract(s, SCRIPT_PARTS_RE, 2).alias("text")),
+        ).alias("_scripts"),
+    ).drop("_found_tags", "_found_heads", "_found_scripts")
 
     tags = F.col("_tags")
     stage3 = stage2.select(
@@ -152,12 +173,8 @@ def with_page_features(crawl: DataFrame, url_col: str = "url", body_col: str = "
         return F.transform(F.filter(heads, lambda h: h["level"] == lv), lambda h: h["text"])
 
     images = F.transform(imgs, lambda i: F.struct(i["src"].alias("src"), i["alt"].alias("alt"), (i["alt"] != "").alias("has_alt")))
-    og = F.map_from_entries(
-        F.transform(F.filter(metas, lambda m: m["property"].startswith("og:")), lambda m: F.struct(m["property"], m["content"]))
-    )
-    tw = F.map_from_entries(
-        F.transform(F.filter(metas, lambda m: m["name"].startswith("twitter:")), lambda m: F.struct(m["name"], m["content"]))
-    )
+    og = _last_by_key(metas, "property", "og:")
+    tw = _last_by_key(metas, "name", "twitter:")
     schema = F.transform(
         F.filter(
             F.col("_scripts"),

@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.config import AUX_CAP_BYTES
-from sitelens.functions.text import js_round, truncate_bytes, wp_strip_all_tags
+from sitelens.functions.text import js_round, wp_strip_all_tags
 from sitelens.functions.url import site_base
 
 # Sitemap locations probed, in order (first 200 wins).
@@ -88,7 +87,7 @@ def robots_by_site(robots: DataFrame) -> DataFrame:
     ``robots`` holds captures of ``base + '/robots.txt'`` (no row = request
     error).  Computed once per site, before any join.
     """
-    content = truncate_bytes(F.coalesce(F.col("content"), F.lit("")), AUX_CAP_BYTES)
+    content = F.coalesce(F.col("content"), F.lit(""))
     ok = F.col("status") == 200
     return robots.select(
         F.expr(f"substring(robots_url, 1, length(robots_url) - {len(ROBOTS_PATH)})").alias("base"),

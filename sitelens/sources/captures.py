@@ -1,8 +1,8 @@
 """Capture tables: crawl, robots, sitemaps, LLM responses.
 
-The reference fetches over HTTP with response-size limits; the engine reads
-captured responses and applies the same limits at ingest, which also keeps row
-sizes bounded for every later stage.
+The reference fetches over HTTP with response-size limits.  A table has its bodies
+already, so they are read whole; a caller that wants a limit passes ``body_cap``
+or ``cap`` (bytes, cut between characters).
 """
 
 from __future__ import annotations
@@ -10,15 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.config import AUX_CAP_BYTES, BODY_CAP_BYTES
 from sitelens.functions.text import truncate_bytes
 
 
-def normalize_crawl(crawl: DataFrame) -> DataFrame:
-    """S1 semantics on a DataFrame: body capped, header names lower-cased."""
-    out = crawl.withColumn("body", truncate_bytes(F.coalesce(F.col("body"), F.lit("")), BODY_CAP_BYTES))
+def normalize_crawl(crawl: DataFrame, body_cap: int | None = None) -> DataFrame:
+    """S1 semantics on a DataFrame: null bodies empty, header names lower-cased."""
+    body = F.coalesce(F.col("body"), F.lit(""))
+    out = crawl.withColumn("body", body if body_cap is None else truncate_bytes(body, body_cap))
     if "headers" in crawl.columns:
-        out = out.withColumn("headers", F.transform_keys("headers", lambda k, v: F.lower(k)))
+        # of names that differ in case the last value wins, whatever the session's map policy
+        names = F.map_keys("headers")
+        lower = F.array_distinct(F.transform(names, F.lower))
+        pairs = F.map_entries("headers")
+        last = F.transform(lower, lambda k: F.element_at(F.filter(pairs, lambda e: F.lower(e["key"]) == k), -1)["value"])
+        out = out.withColumn("headers", F.map_from_arrays(lower, last))
     return out
 
 
@@ -27,9 +32,10 @@ def read_crawl(spark: SparkSession, path: str) -> DataFrame:
     return normalize_crawl(spark.read.parquet(path))
 
 
-def normalize_robots(robots: DataFrame) -> DataFrame:
-    """Robots bodies capped at 262,144 bytes."""
-    return robots.withColumn("content", truncate_bytes(F.coalesce(F.col("content"), F.lit("")), AUX_CAP_BYTES))
+def normalize_robots(robots: DataFrame, cap: int | None = None) -> DataFrame:
+    """Null contents empty."""
+    content = F.coalesce(F.col("content"), F.lit(""))
+    return robots.withColumn("content", content if cap is None else truncate_bytes(content, cap))
 
 
 def read_robots(spark: SparkSession, path: str) -> DataFrame:
