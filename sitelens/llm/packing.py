@@ -24,6 +24,7 @@ each; an empty table gives no sequences.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 
@@ -34,16 +35,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CACHE_WORDS = 150_000
+CACHED_BYTES = 64  # longer words are encoded but not remembered
 
 # ------------------------------------------------------------ tokens
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable bytes
+    stand for themselves, the others are numbered on from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: A word of letters that no normaliser recomposes, then plain punctuation.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,;:!?]*)").fullmatch
+
+
 class WordCoder:
     """Ids of whole texts by a ``tokenizers`` file, looked up word by word.
 
     Normaliser and split pattern of a word-end vocabulary work inside runs of
-    visible characters, so a text may be cut at ASCII white space; every distinct
-    word is encoded by the library and remembered as packed little-endian ids.
+    visible characters, so a text may be cut at ASCII white space.  Every distinct
+    word is encoded by the library and remembered as packed little-endian ids; of
+    plain words with punctuation the two parts, which the split pattern separates,
+    go to the library's model directly.  Two generations of ``CACHE_WORDS`` are kept.
     """
 
     def __init__(self, path: str):
@@ -51,29 +67,48 @@ class WordCoder:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def pack(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        young, old = self.young, self.old
-        missing: dict[bytes, None] = {}
-        for ws in words:
-            for w in ws:
-                if w not in young:
-                    got = old.get(w)
-                    if got is None:
-                        missing[w] = None
-                    else:
-                        young[w] = got
-        if missing:
-            found = self.lib.encode_batch_fast([w.decode("utf-8") for w in missing], add_special_tokens=False)
-            for w, e in zip(missing, found, strict=True):
-                young[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(young.__getitem__, ws)) for ws in words]
-        if len(young) > CACHE_WORDS:
-            self.old, self.young = young, {}
-        return out
+        self.model = self.lib.model
+        self.letters = "".join(v for _, v in sorted(_byte_letters().items()))
+        self.words: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
+        self.cores: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def _core(self, part: str) -> bytes:
+        young, old = self.cores
+        got = young.get(part)
+        if got is None:
+            got = old.get(part)
+            if got is None:
+                mapped = part.encode().decode("latin-1").translate(self.letters)
+                got = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+            if len(young) >= CACHE_WORDS:
+                self.cores = ({}, young)
+                young = self.cores[0]
+            young[part] = got
+        return got
+
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8")
+        if m := PLAIN(word):
+            core, marks = m.groups()
+            return (self._core(core.lower()) if core else b"") + (self._core(marks) if marks else b"")
+        return np.array(self.lib.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def pack(self, text: str | None) -> bytes:
+        """The packed ids of a text."""
+        young, old = self.words
+        if len(young) >= CACHE_WORDS:
+            self.words = young, old = {}, young
+        out = []
+        for w in (text or "").encode("utf-8", "replace").split():
+            got = young.get(w)
+            if got is None:
+                got = old.get(w)
+                if got is None:
+                    got = self._word(w)
+                if len(w) <= CACHED_BYTES:
+                    young[w] = got
+            out.append(got)
+        return b"".join(out)
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -95,8 +130,8 @@ def pieces(text: Column, path: str, capacity: int, end_id: int) -> Column:
     def cut(s: pd.Series) -> pd.Series:
         coder, end = word_coder(path), np.asarray([end_id], dtype="<u4").tobytes()
         out = []
-        for raw in coder.pack(list(s)):
-            raw += end
+        for text in s:
+            raw = coder.pack(text) + end
             step = 4 * capacity
             out.append(
                 [
