@@ -15,8 +15,22 @@ ELLIPSIS = "…"
 
 
 def format_ms(ms: Column) -> Column:
-    """K9: ``x.xxs`` from 1000 ms (integer half-up to hundredths), else ``nms``."""
-    h = F.floor((ms + F.lit(5)) / F.lit(10)).cast("bigint")
+    """K9: ``x.xxs`` from 1000 ms, else ``nms``.
+
+    The seconds are rounded as JavaScript's ``toFixed(2)`` does: by the double's
+    exact value, so 1005 ms (a double just below 1.005) is ``1.00s`` and 1025 ms
+    ``1.02s``, while 1125 ms, an exact tie, goes up.  Only whole ms that end in 5
+    are in doubt; there the double is split into two halves whose products by 200
+    are exact, and compared with the odd whole number that the tie would give.
+    """
+    ms = ms.cast("bigint")
+    x = ms / F.lit(1000.0)
+    big = x * F.lit(134217729.0)
+    high = big - (big - x)
+    odd = (ms / F.lit(5.0)).cast("double")
+    above = (high * 200 - odd) + (x - high) * 200 >= 0
+    last = ms % 10
+    h = F.floor(ms / 10).cast("bigint") + F.when((last > 5) | ((last == 5) & above), 1).otherwise(0)
     secs = F.concat((h / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((h % 100).cast("string"), 2, "0"), F.lit("s"))
     return F.when(ms >= 1000, secs).otherwise(F.concat(ms.cast("string"), F.lit("ms")))
 

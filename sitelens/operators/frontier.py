@@ -15,7 +15,7 @@ from sitelens.config import MAX_REQUESTS
 from sitelens.functions.ip import first_forwarded, is_ip, is_public_ip
 from sitelens.functions.text import php_empty, php_trim
 from sitelens.functions.url import url_host, url_path, url_port, url_scheme, url_userinfo
-from sitelens.operators.lookup import lookup_join
+from sitelens.operators.lookup import lookup_join, one_per_key
 
 # Error codes in rule order.
 E_EMPTY, E_INVALID, E_SCHEME = "wa_empty_url", "wa_invalid_url", "wa_invalid_scheme"
@@ -139,53 +139,69 @@ def redirect_target(base_url: Column, location: Column) -> Column:
     )
 
 
+def _validated(rows: DataFrame, raw_col: str, dns_facts: DataFrame, row_id: list[str]) -> DataFrame:
+    """U11 on ``raw_col``: adds ``_err`` and ``_url`` (null where the URL is rejected)."""
+    j = lookup_join(normalize_frontier(rows, raw_col), dns_facts, ["host"], row_id)
+    literal = is_ip(F.col("host"))
+    err = F.coalesce(
+        F.col("syntax_error"),
+        F.when(~literal & ~F.coalesce(F.col("resolves"), F.lit(False)), F.lit(E_DNS)),
+        F.when(literal & ~is_public_ip(F.col("host")), F.lit(E_PRIVATE)),
+        F.when(~literal & ~F.coalesce(F.col("all_public"), F.lit(True)), F.lit(E_PRIVATE)),
+    )
+    staged = j.select(*rows.columns, "url", err.alias("_err"))
+    return staged.select(*rows.columns, "_err", F.when(F.col("_err").isNull(), F.col("url")).alias("_url"))
+
+
+def redirect_edges(redirects: DataFrame, dns_facts: DataFrame) -> DataFrame:
+    """Each captured hop once: ``url -> next_url`` or ``next_error``, ready to be followed.
+
+    The target is resolved and validated here, so following a chain needs neither
+    DNS nor URL rules.  Repeated captures are reduced to one.
+    """
+    hops = redirects.where(F.col("status").between(300, 399)).select("url", "location", *[c for c in redirects.columns if c == "fetched_at"])
+    one = one_per_key(hops, ["url"]).select(F.col("url").alias("_hop"), "location")
+    ends = F.coalesce(F.col("location"), F.lit("")).isin("", "0")
+    target = one.withColumn("_target", F.when(~ends, redirect_target(F.col("_hop"), F.col("location"))))
+    ok = _validated(target, "_target", dns_facts, ["_hop"])
+    return ok.select(
+        "_hop",
+        F.when(F.col("_target").isNull(), F.lit(TOO_MANY_REDIRECTS)).otherwise(F.col("_err")).alias("_next_error"),
+        F.when(F.col("_target").isNotNull(), F.col("_url")).alias("_next_url"),
+        F.col("_target").isNotNull().alias("_moves"),
+    )
+
+
 def resolve_redirects(
     starts: DataFrame, redirects: DataFrame, dns: DataFrame, url_col: str = "submitted_url", row_id: str = "request_id"
 ) -> DataFrame:
     """Follow captured redirects for at most six requests.
 
-    Each hop validates the current URL (U11 incl. DNS), then looks it up in
-    ``redirects(url, status, location)``: a 3xx with a Location moves on, a 3xx
-    without one or a 3xx on the sixth request fails with "Too many redirects.",
-    and a URL without a captured redirect is final.  The loop is unrolled into
-    six rounds of lookup joins on narrow rows.
+    Every URL is validated once: the submitted ones and the targets of the captured
+    hops (``redirect_edges``).  Six rounds then join narrow rows with the edges by
+    URL.  A row that is done keeps a key of its own that no URL equals, so finished
+    rows neither match nor gather on one key.  A 3xx without a Location, or on the
+    sixth request, fails with "Too many redirects."; a URL without a captured
+    redirect is final.
     """
     dns_facts = dns_by_host(dns)
-    hops = redirects.where(F.col("status").between(300, 399)).select(
-        F.col("url").alias("_hop_url"), F.col("status").alias("_hop_status"), F.col("location").alias("_hop_loc")
-    )
-    cur = starts.select(
-        F.col(row_id), F.col(url_col).alias("submitted_url"), F.col(url_col).alias("_cur"),
-        F.lit(None).cast("string").alias("final_url"), F.lit(None).cast("string").alias("error"),
-        F.lit(0).cast("bigint").alias("redirects"),
+    edges = redirect_edges(redirects, dns_facts)
+    first = _validated(starts.select(F.col(row_id), F.col(url_col).alias("submitted_url")), "submitted_url", dns_facts, [row_id])
+    cur = first.select(
+        row_id, "submitted_url", F.col("_url").alias("_cur"), F.lit(None).cast("string").alias("final_url"),
+        F.col("_err").alias("error"), F.lit(0).cast("bigint").alias("redirects"),
     )
+    done = F.col("final_url").isNotNull() | F.col("error").isNotNull()
+    own_key = F.concat(F.lit("\n"), F.col(row_id).cast("string"))  # no valid URL holds a line feed
     for hop in range(MAX_REQUESTS):
-        active = F.col("final_url").isNull() & F.col("error").isNull()
-        n = normalize_frontier(cur.withColumn("_raw", F.when(active, F.col("_cur"))), "_raw")
-        n = lookup_join(n, dns_facts, ["host"], [row_id])
-        literal = is_ip(F.col("host"))
-        verr = F.coalesce(
-            F.col("syntax_error"),
-            F.when(~literal & ~F.coalesce(F.col("resolves"), F.lit(False)), F.lit(E_DNS)),
-            F.when(literal & ~is_public_ip(F.col("host")), F.lit(E_PRIVATE)),
-            F.when(~literal & ~F.coalesce(F.col("all_public"), F.lit(True)), F.lit(E_PRIVATE)),
-        )
-        n = n.withColumn("_verr", F.when(active, verr)).withColumn("_vurl", F.when(active & verr.isNull(), F.col("url")))
-        n = lookup_join(n.withColumn("_hop_url", F.col("_vurl")), hops, ["_hop_url"], [row_id])
-        is_3xx = F.col("_hop_status").isNotNull()
-        empty_loc = F.coalesce(F.col("_hop_loc"), F.lit("")).isin("", "0")
         last = hop == MAX_REQUESTS - 1
-        new_error = (
-            F.when(~active, F.col("error"))
-            .when(F.col("_verr").isNotNull(), F.col("_verr"))
-            .when(is_3xx & (empty_loc | F.lit(last)), F.lit(TOO_MANY_REDIRECTS))
-        )
-        new_final = F.when(~active, F.col("final_url")).when(F.col("_verr").isNull() & ~is_3xx, F.col("_vurl"))
-        moving = active & F.col("_verr").isNull() & is_3xx & ~empty_loc
-        cur = n.select(
-            F.col(row_id), "submitted_url",
-            F.when(moving, redirect_target(F.col("_vurl"), F.col("_hop_loc"))).otherwise(F.col("_cur")).alias("_cur"),
-            new_final.alias("final_url"), new_error.alias("error"),
-            (F.col("redirects") + F.when(moving, 1).otherwise(0)).cast("bigint").alias("redirects"),
+        j = cur.withColumn("_hop", F.when(done, own_key).otherwise(F.col("_cur"))).join(edges, "_hop", "left")
+        hit, moves = F.col("_moves").isNotNull(), F.coalesce(F.col("_moves"), F.lit(False))
+        cur = j.select(
+            row_id, "submitted_url",
+            F.when(moves, F.col("_next_url")).otherwise(F.col("_cur")).alias("_cur"),
+            F.when(done, F.col("final_url")).when(~hit, F.col("_cur")).alias("final_url"),
+            F.when(done, F.col("error")).when(hit, F.lit(TOO_MANY_REDIRECTS) if last else F.col("_next_error")).alias("error"),
+            (F.col("redirects") + F.when(moves, 1).otherwise(0)).cast("bigint").alias("redirects"),
         )
     return cur.select(row_id, "submitted_url", "final_url", "error", "redirects")

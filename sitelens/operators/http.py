@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions.text import js_round, wp_strip_all_tags
 from sitelens.functions.url import site_base
+from sitelens.operators.lookup import one_per_key
 
 # Sitemap locations probed, in order (first 200 wins).
 SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml"]
@@ -89,13 +90,15 @@ def robots_by_site(robots: DataFrame) -> DataFrame:
     """
     content = F.coalesce(F.col("content"), F.lit(""))
     ok = F.col("status") == 200
-    return robots.select(
+    extra = ["fetched_at"] if "fetched_at" in robots.columns else []
+    latest = one_per_key(robots.where(F.col("robots_url").endswith(ROBOTS_PATH)).select("robots_url", "status", "content", *extra), ["robots_url"])
+    return latest.select(
         F.expr(f"substring(robots_url, 1, length(robots_url) - {len(ROBOTS_PATH)})").alias("base"),
         ok.alias("robots_exists"),
         F.col("robots_url"),
         wp_strip_all_tags(content).alias("robots_content"),
         (ok & content.rlike(BLOCKS_ALL_RE)).alias("blocks_all"),
-    ).where(F.col("robots_url").endswith(ROBOTS_PATH))
+    )
 
 
 def sitemap_by_site(sitemaps: DataFrame) -> DataFrame:

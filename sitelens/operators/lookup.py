@@ -18,6 +18,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row a key, the same on every run: the latest ``fetched_at`` where there is
+    one, then the greatest remaining values.  Captures may hold a key repeatedly;
+    a lookup side must not, or its facts are multiplied."""
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    rest.sort(key=lambda c: c != "fetched_at")  # stable: fetched_at first, the others in order
+    best = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_best"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
+
+
 SALT_BUCKETS = 16
 _SALT = "_lookup_salt"
 

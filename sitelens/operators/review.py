@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.functions.text import php_empty
-from sitelens.operators.lookup import lookup_join
+from sitelens.functions.text import js_round, php_empty
+from sitelens.operators.lookup import one_per_key
 
 # Error messages and generation settings of the reference.
 MSG_API_ERROR = "Gemini API error"
@@ -62,7 +62,7 @@ _ISSUE = T.StructType([T.StructField(n, T.StringType()) for n in ("issue", "desc
 REVIEW_SCHEMA = T.StructType(
     [
         T.StructField("summary", T.StringType()),
-        T.StructField("ratings", T.StructType([T.StructField(k, T.LongType()) for k in
+        T.StructField("ratings", T.StructType([T.StructField(k, T.StringType()) for k in
                                                ("performance", "seo", "security", "mobile", "accessibility", "technical")])),
         T.StructField("critical_issues", T.ArrayType(_ISSUE)),
         T.StructField("seo_report", T.StructType([
@@ -78,10 +78,11 @@ REVIEW_SCHEMA = T.StructType(
 )
 
 
-def review_payload(reports: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """A1: the report with at most ten images, as a struct column ``payload``."""
+def review_payload(reports: DataFrame, id_col: str = "page_id", images: int = PAYLOAD_IMAGES) -> DataFrame:
+    """A1: the report with at most ``images`` images (``seo.total_images`` keeps their
+    number), as a struct column ``payload``."""
     cols = [c for c in reports.columns if c != id_col]
-    slim = reports.withColumn("seo", F.col("seo").withField("images", F.slice(F.col("seo.images"), 1, PAYLOAD_IMAGES)))
+    slim = reports.withColumn("seo", F.col("seo").withField("images", F.slice(F.col("seo.images"), 1, images)))
     return slim.select(id_col, "url", F.struct(*[F.col(c) for c in cols]).alias("payload"))
 
 
@@ -120,22 +121,33 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     return responses.select(*keep, err.isNull().alias("ok"), err.alias("error_message"), F.when(err.isNull(), text).alias("text"))
 
 
+def _rounded(number: Column) -> Column:
+    """A score as the nearest whole number; fractions and quoted numbers count too."""
+    return js_round(number.try_cast("double"))
+
+
 def review_struct(text: Column) -> Column:
     """Typed review fields plus the presence and value of ``overall_score``."""
     parsed = F.from_json(text, REVIEW_SCHEMA)
     keys = F.json_object_keys(text)
     return F.struct(
         F.coalesce(F.array_contains(keys, "overall_score"), F.lit(False)).alias("has_overall"),
-        F.get_json_object(text, "$.overall_score").try_cast("double").cast("bigint").alias("overall_score"),
-        *[parsed[f.name].alias(f.name) for f in REVIEW_SCHEMA.fields],
+        _rounded(F.get_json_object(text, "$.overall_score")).alias("overall_score"),
+        *[
+            F.struct(*[_rounded(parsed["ratings"][k.name]).alias(k.name) for k in f.dataType.fields]).alias("ratings")
+            if f.name == "ratings"
+            else parsed[f.name].alias(f.name)
+            for f in REVIEW_SCHEMA.fields
+        ],
     )
 
 
-def merge_reviews(scored: DataFrame, parsed: DataFrame, row_id: str = "url") -> DataFrame:
+def merge_reviews(scored: DataFrame, parsed: DataFrame) -> DataFrame:
     """A4: successful reviews joined by URL as column ``ai``; ``scores.overall``
     replaced when the review has the key (even when its value is null)."""
-    ok = parsed.where("ok").select(F.col("url"), review_struct(F.col("text")).alias("ai"))
-    j = lookup_join(scored, ok, ["url"], [row_id])
+    # a URL may have been answered more than once; its key is no hot one, so no salt
+    ok = one_per_key(parsed.where("ok").select("url", "text"), ["url"]).select("url", review_struct(F.col("text")).alias("ai"))
+    j = scored.join(ok, "url", "left")
     overall = F.when(F.col("ai.has_overall"), F.col("ai.overall_score")).otherwise(F.col("scores.overall"))
     return j.withColumn("scores", F.col("scores").withField("overall", overall))
 

@@ -145,7 +145,7 @@ def auto_summary(url: Column, scores: Column) -> Column:
         )
     )
     u = strip_scheme_and_slash(url)
-    overall = scores["overall"].cast("string")
+    overall = F.coalesce(scores["overall"].cast("string"), F.lit("null"))  # as the reference prints it
     return F.when(
         F.size(weak) == 0,
         F.concat(u, F.lit(" scores "), overall, F.lit("/100 overall and looks healthy across all categories.")),

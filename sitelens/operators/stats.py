@@ -62,6 +62,21 @@ def listing_page(stats: DataFrame, period: str, as_of: datetime, page: int = 1,
     )
 
 
+def listing_after(
+    stats: DataFrame, period: str, as_of: datetime, after: tuple[datetime, int] | None, per_page: int = STATS_PER_PAGE
+) -> DataFrame:
+    """T2 by key: the ``per_page`` rows that follow ``after = (created_at, id)``.
+
+    Costs the same on any page: every task keeps its own ``per_page`` rows, whereas
+    an offset keeps all rows before the page as well."""
+    cols = ["id", "domain", "duration_ms", "success", "ip_address", "user_id", "user_agent", "created_at"]
+    rows = filter_period(stats, period, as_of).select(*cols)
+    if after is not None:
+        at, last = F.lit(after[0]), F.lit(int(after[1]))
+        rows = rows.where((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") < last)))
+    return rows.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(per_page)
+
+
 def filtered_count(stats: DataFrame, period: str, as_of: datetime) -> DataFrame:
     """T3."""
     return filter_period(stats, period, as_of).agg(F.count(F.lit(1)).alias("total"))
@@ -146,11 +161,14 @@ def excerpt(c: Column, n: int = 40, more: str = "…") -> Column:
 def statistics_view(rows: DataFrame, users: DataFrame) -> DataFrame:
     """Display columns of listing rows.
 
-    ``rows`` is a listing page (at most ``per_page`` rows, a proven bound), so
-    it is the broadcast side; the users table is only scanned, never shuffled.
+    ``rows`` is a listing page (at most ``per_page`` rows, a proven bound).  It is
+    the broadcast side of an inner join that picks the page's users, so the users
+    table is only scanned, never shuffled; the page then meets those few rows.
     """
     u = users.select(F.col("user_id").alias("u_id"), "user_login")
-    joined = u.join(F.broadcast(rows), (F.col("u_id") == F.col("user_id")) & (F.col("user_id") > 0), "right")
+    wanted = rows.where(F.col("user_id") > 0).select(F.col("user_id").alias("w_id")).distinct()
+    some = u.join(F.broadcast(wanted), F.col("u_id") == F.col("w_id"), "inner").groupBy("u_id").agg(F.min("user_login").alias("user_login"))
+    joined = rows.join(F.broadcast(some), F.col("u_id") == F.col("user_id"), "left")
     return joined.select(
         "id",
         F.date_format("created_at", "yyyy-MM-dd").alias("date"),

@@ -424,8 +424,9 @@ SELECT p AS page_id, CAST(ord AS BIGINT) AS ord, key, label, CAST(score AS BIGIN
 
 
 def fmt_ms(x: str) -> str:
-    return (f"(CASE WHEN {x} >= 1000 THEN CAST((({x} + 5) // 10) // 100 AS VARCHAR) || '.' || "
-            f"lpad(CAST((({x} + 5) // 10) % 100 AS VARCHAR), 2, '0') || 's' ELSE CAST({x} AS VARCHAR) || 'ms' END)")
+    # printf rounds by the double's exact value too, but exact ties (n * 125 ms) to even
+    return (f"(CASE WHEN {x} >= 1000 AND {x} % 125 = 0 AND {x} % 10 = 5 THEN printf('%.2fs', ({x} + 5) // 10 / 100.0) "
+            f"WHEN {x} >= 1000 THEN printf('%.2fs', {x} / 1000.0) ELSE CAST({x} AS VARCHAR) || 'ms' END)")
 
 
 def _metric(x: str) -> str:

@@ -55,7 +55,7 @@ src AS (
 OUTCOMES = """
 outcomes AS (
   SELECT page_id AS request_id, url AS submitted_url, CAST((page_id * 37) % 2000 AS INTEGER) AS duration_ms,
-         (CASE WHEN page_id % 10 = 9 THEN 404 WHEN page_id % 10 = 8 THEN 204 ELSE 200 END) < 400 AS success,
+         page_id % 23 <> 22 AS success,  -- only a failed fetch fails; an HTTP error is a finding
          CAST(page_id % 5 AS BIGINT) AS user_id, TIMESTAMP '2024-01-30 12:00:00' AS created_at
   FROM pages
 )"""

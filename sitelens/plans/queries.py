@@ -450,9 +450,14 @@ def a6t(spark, sf_dir):
 
 @register("a7_request_validity")
 def a7(spark, sf_dir):
-    r = Tables(spark, sf_dir).ai_responses()
-    payload = F.get_json_object("body", "$.candidates[0].content.parts[0].text")
-    return r.select("page_id", rv.valid_review_request(payload).alias("valid"))
+    """Request payloads: the report's JSON, and what a broken client would send instead."""
+    p = rv.review_payload(_scored(spark, sf_dir).drop("timestamp"))
+    n = F.col("page_id") % 6
+    sent = (
+        F.when(n == 1, F.lit("")).when(n == 2, F.lit("0")).when(n == 3, F.lit('"text"')).when(n == 4, F.lit("{broken"))
+        .when(n == 5, F.lit("[]")).otherwise(F.to_json("payload"))
+    )
+    return p.select("page_id", rv.valid_review_request(sent).alias("valid"))
 
 
 @register("r3_recommendations_ai")
@@ -507,9 +512,9 @@ def w1s(spark, sf_dir):
 
 
 def _outcomes(spark, sf_dir) -> DataFrame:
-    c = Tables(spark, sf_dir).crawl()
+    c = Tables(spark, sf_dir).fetches()
     return c.select(F.col("page_id").alias("request_id"), F.col("url").alias("submitted_url"), "duration_ms",
-                    (F.col("status") < 400).alias("success"), "user_id", F.col("fetched_at").alias("created_at"))
+                    F.col("error").isNull().alias("success"), "user_id", F.col("fetched_at").alias("created_at"))
 
 
 def _stats_out(df: DataFrame) -> DataFrame:

@@ -22,7 +22,10 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
+# Settings whose absence would change results.
+MUST_HOLD = ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy")
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "sitelens") -> SparkSession:
@@ -49,7 +52,11 @@ def configure(spark: SparkSession) -> SparkSession:
         try:
             spark.conf.set(k, v)
         except Exception:  # static or locked conf on a managed cluster
-            pass
+            if k in MUST_HOLD:
+                raise
+    for k in MUST_HOLD:
+        if spark.conf.get(k, None) != ENGINE_CONF[k]:
+            raise RuntimeError(f"{k} must be {ENGINE_CONF[k]}; results depend on it")
     checkpoint_dir(spark)
     ship_package(spark)
     return spark
@@ -83,12 +90,15 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and streaming state.
 
-    Reads ``spark.checkpoint.dir`` from the session; sets a scratch folder only
-    when it is unset (local runs).  Never a machine-local folder on a cluster:
-    on a cluster the setting is always present.
+    Reads ``spark.checkpoint.dir`` from the session.  Where it is unset, a scratch
+    folder serves in local mode only: on a cluster executors do not share one, so
+    its absence is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sitelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     try:

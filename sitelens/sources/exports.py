@@ -43,10 +43,19 @@ def scores_long(scored: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def scores_csv_lines(scored: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """S10 as text: header line (ord 0) plus seven lines, every cell quoted."""
-    body = scores_long(scored, id_col).select(id_col, "ord", F.concat(_quote(F.col("category")), F.lit(","), _quote(F.col("score"))).alias("line"))
-    header = scored.select(id_col, F.lit(0).cast("bigint").alias("ord"), F.lit('"Category","Score"').alias("line"))
-    return header.unionByName(body)
+    """S10 as text: header line (ord 0) plus seven lines, every cell quoted.
+
+    The header is one more element of the exploded array, so the report behind
+    ``scored`` is computed once."""
+    header = F.struct(F.lit(0).cast("bigint").alias("ord"), F.lit('"Category","Score"').alias("line"))
+    body = [
+        F.struct(
+            F.lit(i + 1).cast("bigint").alias("ord"),
+            F.concat(_quote(F.lit(label)), F.lit(","), _quote(F.coalesce(F.col("scores")[key].cast("string"), F.lit("")))).alias("line"),
+        )
+        for i, (label, key) in enumerate(CSV_ROWS)
+    ]
+    return scored.select(id_col, F.explode(F.array(header, *body)).alias("r")).select(id_col, "r.*")
 
 
 def write_scores_csv(scored: DataFrame, path: str, id_col: str = "page_id") -> None:

@@ -379,6 +379,11 @@ class Tables:
     def crawl(self) -> DataFrame:
         return crawl_from_pages(self.raw("pages"))
 
+    def fetches(self) -> DataFrame:
+        """The crawl with failed fetches: ``p%23=22`` timed out."""
+        p = F.col("page_id")
+        return self.crawl().withColumn("error", F.when(p % 23 == 22, F.lit("timeout")))
+
     def robots(self) -> DataFrame:
         return robots_from_pages(self.raw("pages"))
 

@@ -132,7 +132,9 @@ def _stream_fn(window_us: int, refresh: bool):
             pdf["ts_us"].to_numpy(), pdf["lim"].to_numpy(), window_us, refresh, int(expiry), int(count), int(start)
         )
         state.update((int(expiry), int(count), int(start)))
-        state.setTimeoutTimestamp(int(expiry // 1000) + 1)  # idle keys are dropped once their window has passed
+        # idle keys are dropped once their window has passed; a window that has passed
+        # already (a late event, an old state) is dropped at the next watermark
+        state.setTimeoutTimestamp(max(int(expiry // 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(
             {"id": pdf["id"].to_numpy(), "key": pdf["key"].to_numpy(), "accepted": acc,
              "window_start_us": starts, "count_in_window": counts}
