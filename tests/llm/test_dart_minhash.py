@@ -88,3 +88,15 @@ def test_one_of_each_group_stays(spark):
 def test_repeated_rows_leave_one(spark):
     rows = [(5, "a b c d e f g", "en", "s", 1, "n", "d", "b", 1, "s")] * 3
     assert dm.drop_near_copies(frame(spark, rows)).count() == 1
+
+
+def test_components_in_steps_equal_components_at_once(spark):
+    rng = random.Random(4)
+    pairs = [(bytes([rng.randrange(60)]), bytes([rng.randrange(60)])) for _ in range(45)] + [(bytes([70 + i]), bytes([71 + i])) for i in range(12)]
+    df = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a binary, b binary")
+    whole = {bytes(r["node"]): bytes(r["root"]) for r in dm.components(df).collect()}
+    rows = df.collect()
+    first = spark.createDataFrame(rows[::2], df.schema)
+    second = spark.createDataFrame(rows[1::2], df.schema)
+    steps = {bytes(r["node"]): bytes(r["root"]) for r in dm.components(second, dm.components(first)).collect()}
+    assert steps == whole
