@@ -36,6 +36,16 @@ def _names(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.
 
 def _count_below(sorted_cols: tuple[np.ndarray, ...], cols: tuple[np.ndarray, ...]) -> np.ndarray:
     """How many of the sorted tuples are smaller than each of ``cols``."""
+    widths = [int(max(s.max(initial=0), c.max(initial=0))).bit_length() for s, c in zip(sorted_cols, cols, strict=True)]
+    if sum(widths) < 64:
+
+        def packed(parts: tuple[np.ndarray, ...]) -> np.ndarray:
+            key = np.zeros(len(parts[0]), dtype=np.uint64)
+            for part, width in zip(parts, widths, strict=True):
+                key = (key << np.uint64(width)) | part.astype(np.uint64)
+            return key
+
+        return np.searchsorted(packed(sorted_cols), packed(cols), side="left")
     m, n = len(sorted_cols[0]), len(cols[0])
     both = [np.concatenate([s, c]) for s, c in zip(sorted_cols, cols, strict=True)]
     is_query = np.concatenate([np.ones(m, np.int8), np.zeros(n, np.int8)])  # queries first among equals
@@ -46,6 +56,11 @@ def _count_below(sorted_cols: tuple[np.ndarray, ...], cols: tuple[np.ndarray, ..
     return out[m:]
 
 
+def _sorted_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Order of (first, second) pairs of whole numbers below 2**31."""
+    return np.argsort((first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64), kind="stable")
+
+
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     """Positions of ``s`` (integers >= 1) in suffix order, as deep as ``depth``."""
     n = len(s)
@@ -66,12 +81,17 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     rank[ranked] = np.arange(1, len(ranked) + 1)
 
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], t[rest]))]
+    rest = rest[_sorted_pairs(t[rest], rank[rest + 1])]
     is_one = ranked % 3 == 1
     one, two = ranked[is_one], ranked[~is_one]
     before = _count_below((t[one], rank[one + 1]), (t[rest], rank[rest + 1]))
     before += _count_below((t[two], t[two + 1], rank[two + 2]), (t[rest], t[rest + 1], rank[rest + 2]))
-    merged = np.concatenate([rest, ranked])
-    at = np.concatenate([2 * before, 2 * np.arange(len(ranked)) + 1])
-    merged = merged[np.argsort(at, kind="stable")]
+    # among suffixes that agree to the depth, counts may not rise; their order is free
+    before = np.maximum.accumulate(before)
+    merged = np.empty(len(rest) + len(ranked), dtype=np.int64)
+    slot = before + np.arange(len(rest))
+    merged[slot] = rest
+    free = np.ones(len(merged), dtype=bool)
+    free[slot] = False
+    merged[free] = ranked
     return merged[merged < n]

@@ -292,29 +292,70 @@ def repeats_in(texts: list[bytes], owner: np.ndarray, start: np.ndarray) -> tupl
     size = np.array([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     at = np.concatenate([[0], np.cumsum(size)])
-    # texts none of whose windows has a twin, by hash, need no sorting
     text = np.repeat(np.arange(len(texts)), size - WINDOW + 1)
     window = np.arange(len(text)) - np.repeat(np.cumsum(size - WINDOW + 1) - (size - WINDOW + 1), size - WINDOW + 1)
     h = Rolling(data).every(WINDOW)[at[text] + window]
+    # texts none of whose windows has a twin, by hash, need no sorting; of the others
+    # what counts is from the first twin to the end of the last
+    first, last = _stretch(text, window, _twins(h), len(texts))
+    kept = np.flatnonzero(last >= 0)
+    if not len(kept):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = (owner.astype(np.int64) << 32) + start
+    kept = kept[np.argsort(place[kept] + first[kept], kind="stable")]
+    seen: dict[bytes, int] = {}
+    alone, copies = [], []
+    for i in kept.tolist():  # equal stretches, byte by byte: all but the earliest are repeats
+        if seen.setdefault(texts[i][first[i] : last[i] + WINDOW], i) == i:
+            alone.append(i)
+        else:
+            copies.append(i)
+    out_text, out_window = [], []
+    if copies:
+        c = np.array(copies)
+        n = last[c] - first[c] + 1
+        out_text.append(np.repeat(c, n))
+        out_window.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[c], n))
+    # twins among the stretches that are left
+    is_alone = np.zeros(len(texts), dtype=bool)
+    is_alone[alone] = True
+    inside = is_alone[text] & (window >= first[text]) & (window <= last[text])
+    text, window = text[inside], window[inside]
+    first, last = _stretch(text, window, _twins(h[inside]), len(texts))
+    mixed = np.flatnonzero(last >= 0)
+    if len(mixed):
+        t, w = _sorted_repeats([texts[i][first[i] : last[i] + WINDOW] for i in mixed], place[mixed] + first[mixed])
+        out_text.append(mixed[t])
+        out_window.append(w + first[mixed[t]])
+    if not out_text:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_text), np.concatenate(out_window)
+
+
+def _twins(h: np.ndarray) -> np.ndarray:
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     twin = np.zeros(len(h), dtype=bool)
     twin[order[1:][same]] = True
     twin[order[:-1][same]] = True
-    if not twin.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # what is left of each text: from its first twin to the end of its last
-    first = np.full(len(texts), 1 << 62)
-    last = np.full(len(texts), -1)
-    np.minimum.at(first, text[twin], window[twin])
-    np.maximum.at(last, text[twin], window[twin])
-    kept = np.flatnonzero(last >= 0)
-    cut = [texts[i][first[i] : last[i] + WINDOW] for i in kept]
+    return twin
+
+
+def _stretch(text: np.ndarray, window: np.ndarray, chosen: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last chosen window of each text (last -1: none)."""
+    first, last = np.full(n, 1 << 62), np.full(n, -1)
+    np.minimum.at(first, text[chosen], window[chosen])
+    np.maximum.at(last, text[chosen], window[chosen])
+    return first, last
+
+
+def _sorted_repeats(cut: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, window)`` of the windows of which an equal one has a smaller place."""
     size = np.array([len(t) for t in cut], dtype=np.int64)
     data = np.frombuffer(b"".join(cut) + b"\0" * 8, dtype=np.uint8)
     at = np.concatenate([[0], np.cumsum(size)])
     order = suffix_order(data[: at[-1]].astype(np.int64) + 1, WINDOW)
-    which = np.searchsorted(at, order, side="right") - 1
+    which = np.repeat(np.arange(len(cut)), size)[order]
     is_window = order - at[which] <= size[which] - WINDOW
     order, which = order[is_window], which[is_window]
     words = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
@@ -324,12 +365,10 @@ def repeats_in(texts: list[bytes], owner: np.ndarray, start: np.ndarray) -> tupl
         w = words[order + j]
         differ[1:] |= w[1:] != w[:-1]
     group = np.flatnonzero(differ)
-    text = kept[which]
-    window = order - at[which] + first[text]
-    place = (owner[text].astype(np.int64) << 32) + start[text] + window
-    earliest = np.minimum.reduceat(place, group)
-    later = place != np.repeat(earliest, np.diff(np.append(group, len(place))))
-    return text[later], window[later]
+    window = order - at[which]
+    where = place[which] + window
+    later = where != np.repeat(np.minimum.reduceat(where, group), np.diff(np.append(group, len(where))))
+    return which[later], window[later]
 
 
 def _sort_bucket(table: pa.Table) -> pa.Table:
