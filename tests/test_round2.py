@@ -109,3 +109,32 @@ def test_pages_by_key_follow_pages_by_offset(spark):
         got = listing_after(df, "week", as_of, after, 10).collect()
         assert [r["id"] for r in got] == want
         after = (got[-1]["created_at"], got[-1]["id"]) if got else after
+
+
+def test_late_and_idle_keys_do_not_stop_the_stream(spark, tmp_path):
+    import os
+
+    from sitelens.streaming.ratelimit import stream_rate_limit
+
+    batches = [
+        [(1, "a", "2024-01-01 10:00:00"), (2, "a", "2024-01-01 10:00:01"), (3, "a", "2024-01-01 10:00:02")],
+        [(4, "b", "2024-01-01 20:00:00")],  # the watermark rises to 18:00
+        [(5, "a", "2024-01-01 09:00:00"), (6, "b", "2024-01-01 20:00:01")],  # 5 is too late
+        [(7, "a", "2024-01-01 21:00:00"), (8, "b", "2024-01-01 20:00:02"), (9, "b", "2024-01-01 21:30:00")],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "id int, k string, t string").selectExpr("id", "k", "to_timestamp(t) ts").coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+        part = next(f for f in os.listdir(f"{tmp_path}/in{i}") if f.endswith(".parquet"))
+        os.makedirs(f"{tmp_path}/src", exist_ok=True)
+        os.rename(f"{tmp_path}/in{i}/{part}", f"{tmp_path}/src/{i}.parquet")
+        os.utime(f"{tmp_path}/src/{i}.parquet", (1e9 + i, 1e9 + i))
+
+    def run():  # availableNow ends by itself; a second run resumes from the checkpoint
+        src = spark.readStream.schema("id int, k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/src")
+        q = stream_rate_limit(src, F.col("k"), "ts", "id", 2).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        q.option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+        return {r["id"]: r["accepted"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+
+    got = run()
+    assert {k: v for k, v in got.items() if k != 5} == {1: True, 2: True, 3: False, 4: True, 6: True, 7: True, 8: False, 9: True}
+    assert run() == got
