@@ -70,6 +70,12 @@ FROM stats WHERE {_period(period)} GROUP BY CAST(created_at AS DATE)"""
     q["t6_top_domains"] = f"""
 WITH {STATISTICS_CTE}
 SELECT domain, count(*) AS count FROM stats GROUP BY domain ORDER BY count DESC, domain LIMIT 10"""
+    q["t7_bundle_rows_week"] = q["t2_listing_week_p1"]
+    q["t7_bundle_chart_week"] = q["t5_daily_week"]
+    q["t10_dashboard"] = f"""
+SELECT 'totals' AS part, label, count FROM (SELECT * FROM ({q["t4_totals"]})) UNPIVOT (count FOR label IN ("all", today, week, month))
+UNION ALL SELECT 'top_domains', domain, count FROM ({q["t6_top_domains"]})
+UNION ALL SELECT 'chart', date, count FROM ({q["t5_daily_week"]})"""
     q["t7_bundle_summary_month"] = f"""
 WITH {STATISTICS_CTE}
 SELECT count(*) FILTER (WHERE {_period('month')}) AS total,

@@ -77,6 +77,11 @@ SELECT CAST(request_id AS BIGINT) AS id, CASE WHEN {host('submitted_url')} <> ''
 FROM outcomes"""
     q["s6_outcomes_to_statistics"] = s6
     q["w5_stream_record"] = s6
+    q["s4_s5_statistics_table"] = f"""SELECT * FROM ({s6})
+UNION ALL BY NAME
+SELECT * FROM (WITH {STATISTICS_CTE}
+SELECT id, domain, CAST(duration_ms AS BIGINT) AS duration_ms, success, '' AS ip_address, CAST(user_id AS BIGINT) AS user_id,
+       '' AS user_agent, {TS_FMT} AS created_at FROM stats)"""
     q["w6_stream_daily_counts"] = f"""WITH {STATISTICS_CTE}
 SELECT strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS date, count(*) AS count FROM stats GROUP BY CAST(created_at AS DATE)"""
     return q

@@ -469,6 +469,8 @@ def r3(spark, sf_dir):
 import uuid  # noqa: E402
 
 from sitelens.session import shared_path  # noqa: E402
+from sitelens.sources import captures  # noqa: E402
+from sitelens.sources import statistics as usage  # noqa: E402
 from sitelens.sources.statistics import outcomes_to_statistics  # noqa: E402
 from sitelens.streaming import ratelimit as rl  # noqa: E402
 from sitelens.streaming import sinks  # noqa: E402
@@ -542,6 +544,51 @@ def w6(spark, sf_dir):
     return sinks.run_to_parquet(sinks.daily_counts_stream(stream), spark, "w6", mode="complete")
 
 
+@register("s4_s5_statistics_table")
+def s45(spark, sf_dir):
+    """Two appends to a usage table, then the typed read."""
+    path = shared_path(spark, "tables", f"usage-{uuid.uuid4().hex[:8]}")
+    usage.append_statistics(Tables(spark, sf_dir).statistics(), path)
+    usage.append_statistics(outcomes_to_statistics(_outcomes(spark, sf_dir)), path)
+    return _stats_out(usage.read_statistics(spark, path))
+
+
+@register("s11_review_scan")
+def s11(spark, sf_dir):
+    path = shared_path(spark, "sources", f"answers-{uuid.uuid4().hex[:8]}")
+    Tables(spark, sf_dir).ai_responses().write.parquet(path)
+    got = captures.read_ai_responses(spark, path)
+    text = F.get_json_object("body", "$.candidates[0].content.parts[0].text")
+    return got.select("url", "status", "error", text.alias("text"))
+
+
+def _day(df: DataFrame) -> DataFrame:
+    return df.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "count")
+
+
+@register("t7_bundle_rows_week")
+def t7r(spark, sf_dir):
+    return _stats_out(st.statistics_bundle(Tables(spark, sf_dir).statistics(), "week", P.as_of)["rows"])
+
+
+@register("t7_bundle_chart_week")
+def t7c(spark, sf_dir):
+    return _day(st.statistics_bundle(Tables(spark, sf_dir).statistics(), "week", P.as_of)["chart"])
+
+
+@register("t10_dashboard")
+def t10(spark, sf_dir):
+    d = st.dashboard(Tables(spark, sf_dir).statistics(), P.as_of)
+    kinds = ("all", "today", "week", "month")
+    totals = d["totals"].select(F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.col(k).alias("count")) for k in kinds])).alias("r"))
+    parts = [
+        totals.select(F.lit("totals").alias("part"), "r.label", "r.count"),
+        d["top_domains"].select(F.lit("top_domains").alias("part"), F.col("domain").alias("label"), "count"),
+        _day(d["chart"]).select(F.lit("chart").alias("part"), F.col("date").alias("label"), "count"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # ------------------------------------------------------------- roll-ups
 from sitelens.operators import rollups as ru  # noqa: E402
 
