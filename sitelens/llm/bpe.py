@@ -18,8 +18,8 @@ yields exactly the sequence the merges would, and every byte position is left at
 most once per token that ends there, so time is linear in the piece's length.
 
 The tables are built once per Python worker from the file; the memos of
-pieces and words keep two generations of ``CACHE_PIECES`` entries, so memory stays
-bounded.
+pieces and words keep two generations of ``CACHE_PIECES`` and ``CACHE_WORDS``
+entries, so memory stays bounded.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_PIECES = 150_000
+CACHE_PIECES = 200_000
+CACHE_WORDS = 400_000
 CACHE_PAIRS = 1_000_000
 CACHED_BYTES = 256  # longer pieces are encoded but not remembered
 
@@ -86,7 +87,7 @@ class BytePairCoder:
         self.token = {r: t for t, r in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.pieces = Recent(CACHE_PIECES)
-        self.words = Recent(CACHE_PIECES)
+        self.words = Recent(CACHE_WORDS)
         self._compat: dict[tuple[int, int], bool] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
