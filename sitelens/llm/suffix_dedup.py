@@ -54,7 +54,7 @@ WINDOW = 100
 GRAM = 32
 CHUNK_BYTES = 4 << 20
 BUCKET_ANCHORS = 1_000_000
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20  # of text, for which a bucket is made
 HOT_RUNS = 10_000
 _BLOCK = 1 << 25  # bytes whose windows are anchored at a time
 _AT_BITS = np.uint64(26)
@@ -147,30 +147,36 @@ def _bytes_of(table: pa.Table, text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)])
 
 
-CHUNK_SCHEMA = "chunk bigint, rows binary, bucket int, anchors binary"
+CHUNK_SCHEMA = "chunk bigint, rows binary, bucket int, anchors binary, runs binary"
 
 
 def _chunker(text: str, buckets: int):
-    schema = pa.schema([("chunk", pa.int64()), ("rows", pa.binary()), ("bucket", pa.int32()), ("anchors", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("rows", pa.binary()), ("bucket", pa.int32()), ("anchors", pa.binary()), ("runs", pa.binary())])
 
     def close(chunk: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(batches)
         data, at = _bytes_of(table, text)
-        _, _, h = runs_of(data, at)
-        # a distinct anchor each; its lowest bit tells that this chunk has several
-        h, n = np.unique(h | np.uint64(1), return_counts=True)
-        h = np.where(n > 1, h, h ^ np.uint64(1))
-        bucket = (mix(h | np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+        start, size, h = runs_of(data, at)
+        # a distinct anchor each; its lowest bit tells that this chunk has several runs
+        # of it, and then the number of different ones goes along
+        h |= np.uint64(1)
+        same = mix(h ^ Rolling(data).of(start, start + size + WINDOW - 1))
+        different = h[np.unique(same, return_index=True)[1]]
+        h, n = np.unique(h, return_counts=True)
+        runs = np.unique(different, return_counts=True)[1]
+        bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        h = h[order]
-        blocks = [(b, h[cuts[b] : cuts[b + 1]].tobytes()) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        several = n[order] > 1
+        h, runs = np.where(several, h[order], h[order] ^ np.uint64(1)), runs[order].astype(np.uint32)
+        parts = [(b, slice(cuts[b], cuts[b + 1])) for b in range(buckets) if cuts[b] < cuts[b + 1]]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([chunk] * (len(blocks) + 1), pa.int64()),
-                pa.array([_pack(batches)] + [None] * len(blocks), pa.binary()),
-                pa.array([None] + [b for b, _ in blocks], pa.int32()),
-                pa.array([None] + [x for _, x in blocks], pa.binary()),
+                pa.array([chunk] * (len(parts) + 1), pa.int64()),
+                pa.array([_pack(batches)] + [None] * len(parts), pa.binary()),
+                pa.array([None] + [b for b, _ in parts], pa.int32()),
+                pa.array([None] + [h[p].tobytes() for _, p in parts], pa.binary()),
+                pa.array([None] + [runs[p][several[p]].tobytes() for _, p in parts], pa.binary()),
             ],
             schema=schema,
         )
@@ -192,71 +198,108 @@ def _chunker(text: str, buckets: int):
 
 
 def _again(table: pa.Table) -> pa.Table:
-    """Of a bucket: each chunk's anchors that occur more than once in the corpus."""
+    """Of a bucket: each chunk's anchors that occur more than once in the corpus; the
+    lowest bit of an anchor tells that it is hot."""
     chunks = table.column("chunk").to_pylist()
     blocks = [np.frombuffer(x, dtype=np.uint64) for x in table.column("anchors").to_pylist()]
     all_ = np.concatenate(blocks)
     key, several = all_ | np.uint64(1), (all_ & np.uint64(1)).astype(bool)
+    runs = np.ones(len(all_), dtype=np.int64)
+    runs[several] = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in table.column("runs").to_pylist()])
     order = np.argsort(key, kind="stable")
     new = np.concatenate([[True], np.diff(key[order]) != 0])
     group = np.cumsum(new) - 1
     many = np.bincount(group, 1 + several[order]) > 1
-    keep = np.empty(len(all_), dtype=bool)
+    hot = np.bincount(group, runs[order]) > HOT_RUNS
+    keep, marked = np.empty(len(all_), dtype=bool), np.empty(len(all_), dtype=np.uint64)
     keep[order] = many[group]
+    marked[order] = np.where(hot[group], key[order], key[order] ^ np.uint64(1))
     out, at = [], 0
     for b in blocks:
-        out.append(key[at : at + len(b)][keep[at : at + len(b)]].tobytes())
+        out.append(marked[at : at + len(b)][keep[at : at + len(b)]].tobytes())
         at += len(b)
     return pa.table({"of_chunk": pa.array(chunks, pa.int64()), "anchors": pa.array(out, pa.binary())})
 
 
-RUNS = "kind string, anchor bigint, chunk bigint, row int, doc_id bigint, start bigint, last bigint, bytes binary"
+# A block holds what one chunk sends to one bucket: arrays as bytes, texts compressed
+# together.  Blocks without texts are spans of repeats that are known already.
+BLOCKS = "bucket int, chunk bigint, rows binary, docs binary, starts binary, sizes binary, n_bytes bigint, texts binary"
+SPANS = "of_chunk bigint, rows binary, starts binary, lasts binary"
+
+
+def _blocks(found: list[tuple]) -> pa.Table:
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+    cols = list(zip(*found, strict=True)) if found else [[] for _ in types]
+    return pa.table({n.split()[0]: pa.array(c, ty) for n, c, ty in zip(BLOCKS.split(", "), cols, types, strict=True)})
 
 
-def _table(n: int, **cols) -> pa.Table:
-    types = {"kind": pa.string(), "anchor": pa.int64(), "chunk": pa.int64(), "row": pa.int32(), "doc_id": pa.int64(), "start": pa.int64(), "last": pa.int64(), "bytes": pa.binary()}
-    return pa.table({k: pa.array(cols[k], ty) if k in cols else pa.nulls(n, ty) for k, ty in types.items()})
+def _spans(found: list[tuple]) -> pa.Table:
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    cols = list(zip(*found, strict=True)) if found else [[] for _ in types]
+    return pa.table({n.split()[0]: pa.array(c, ty) for n, c, ty in zip(SPANS.split(", "), cols, types, strict=True)})
 
 
-def _emit_runs(text: str, doc_id: str):
+def _emit_runs(text: str, doc_id: str, parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _table(0)
+            return _blocks([])
         chunk = left.column("chunk")[0].as_py()
         rows = _unpack(left.column("rows")[0].as_py())
-        wanted = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in right.column("anchors").to_pylist()]))
+        wanted = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in right.column("anchors").to_pylist()]))
+        if not len(wanted):
+            return _blocks([])
         data, at = _bytes_of(rows, text)
         start, size, h = runs_of(data, at)
         key = h | np.uint64(1)
-        place = np.minimum(np.searchsorted(wanted, key), max(len(wanted) - 1, 0))
-        again = wanted[place] == key if len(wanted) else np.zeros(len(key), bool)
-        start, size, key = start[again], size[again], key[again]
+        place = np.minimum(np.searchsorted(wanted | np.uint64(1), key), len(wanted) - 1)
+        again = (wanted[place] | np.uint64(1)) == key
+        start, size, key, hot = start[again], size[again], key[again], (wanted[place[again]] & np.uint64(1)).astype(bool)
         if not len(start):
-            return _table(0)
+            return _blocks([])
         end = start + size + WINDOW - 1
         row = np.searchsorted(at, start, side="right") - 1
-        ids = rows.column(doc_id).to_pylist()
-        smallest = -(1 << 63)
-        number = np.array([smallest if i is None else i for i in ids], dtype=np.int64)
+        number = np.array([-(1 << 63) if i is None else i for i in rows.column(doc_id).to_pylist()], dtype=np.int64)
         # equal runs of this chunk: 128 bits of hash and the length
-        one, two = Rolling(data).of(start, end), Rolling(data, _BASE_2).of(start, end)
+        roll = Rolling(data)
+        one, two = roll.of(start, end), Rolling(data, _BASE_2).of(start, end)
         order = np.lexsort((start, row, number[row], size, two, one))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]) | (size[order][1:] != size[order][:-1])
-        first, later = order[new], np.sort(order[~new])
-        inside = start - at[row]
+        first, later = np.sort(order[new]), np.sort(order[~new])
+        out = []
+        if len(later):
+            inside = start[later] - at[row[later]]
+            s, e = _joined(inside, inside + size[later] - 1, row[later])
+            lasts = (inside + size[later] - 1)[e]
+            out.append((int(chunk % parts), chunk, row[later][s].astype(np.int32).tobytes(), None, inside[s].tobytes(), lasts.tobytes(), 0, None))
+        # a hot anchor's runs go out window by window, dealt by all bytes of the window
+        hot_runs, plain = first[hot[first]], first[~hot[first]]
+        w = np.repeat(start[hot_runs], size[hot_runs]) + _counts(size[hot_runs])
+        start = np.concatenate([start[plain], w])
+        end = np.concatenate([end[plain], w + WINDOW])
+        row = np.concatenate([row[plain], np.repeat(row[hot_runs], size[hot_runs])])
+        to = np.concatenate([mix(key[plain]), roll.of(w, w + WINDOW)]) % np.uint64(parts)
+        order = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0]))
         raw = data.tobytes()
-        runs = _table(
-            len(first), kind=["run"] * len(first), anchor=key[first].view(np.int64), chunk=np.full(len(first), chunk), row=row[first].astype(np.int32),
-            doc_id=number[row[first]], start=inside[first], last=inside[first] + size[first] - 1, bytes=[raw[a:b] for a, b in zip(start[first], end[first], strict=True)],
-        )
-        s, e = _joined(inside[later], inside[later] + size[later] - 1, row[later])
-        spans = _table(len(s), kind=["span"] * len(s), chunk=np.full(len(s), chunk), row=row[later][s].astype(np.int32), start=inside[later][s], last=(inside[later] + size[later] - 1)[e])
-        return pa.concat_tables([runs, spans])
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            i = order[a:b]
+            texts = b"".join([raw[x:y] for x, y in zip(start[i].tolist(), end[i].tolist(), strict=True)])
+            packed = pa.compress(texts, codec="zstd", asbytes=True)
+            out.append(
+                (int(to[i[0]]), chunk, row[i].astype(np.int32).tobytes(), number[row[i]].tobytes(), (start[i] - at[row[i]]).tobytes(),
+                 (end[i] - start[i]).tobytes(), len(texts), packed)
+            )
+        return _blocks(out)
 
     return run
 
 
+def _counts(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, .. up to each size, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def _joined(first: np.ndarray, last: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where stretches of windows that follow each other begin and end; sorted input."""
     if not len(first):
@@ -266,23 +309,6 @@ def _joined(first: np.ndarray, last: np.ndarray, owner: np.ndarray) -> tuple[np.
     return begin, np.append(begin[1:], len(first)) - 1
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of hot anchors as single windows, dealt by a hash of their bytes."""
-    for b in batches:
-        raw = b.column("bytes").to_pylist()
-        for i, x in enumerate(raw):
-            data = np.frombuffer(x, dtype=np.uint8)
-            h = Rolling(data).every(WINDOW)
-            n = len(h)
-            one = b.slice(i, 1)
-            start = one.column("start")[0].as_py() + np.arange(n)
-            same = {c: [one.column(c)[0].as_py()] * n for c in ("chunk", "row", "doc_id")}
-            yield pa.RecordBatch.from_pydict(
-                {"kind": ["run"] * n, "anchor": h.view(np.int64), **same, "start": start, "last": start, "bytes": [x[j : j + WINDOW] for j in range(n)]},
-                schema=_table(0).schema,
-            )
-
-
 def repeats_in(texts: list[bytes], owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(text number, window)`` of all windows of which an equal one comes earlier.
 
@@ -372,18 +398,33 @@ def _sorted_repeats(cut: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _sort_bucket(table: pa.Table) -> pa.Table:
-    texts = table.column("bytes").to_pylist()
-    doc, chunk, row, start = (table.column(c).to_numpy() for c in ("doc_id", "chunk", "row", "start"))
+    out, texts, cols = [], [], []
+    for b in table.to_pylist():
+        rows, starts, sizes = np.frombuffer(b["rows"], np.int32), np.frombuffer(b["starts"], np.int64), np.frombuffer(b["sizes"], np.int64)
+        if b["texts"] is None:
+            out.append((b["chunk"], b["rows"], b["starts"], b["sizes"]))
+            continue
+        raw = pa.decompress(b["texts"], decompressed_size=b["n_bytes"], codec="zstd", asbytes=True)
+        ends = np.cumsum(sizes).tolist()
+        texts += [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        cols.append((np.frombuffer(b["docs"], np.int64), np.full(len(rows), b["chunk"]), rows.astype(np.int64), starts))
+    if not texts:
+        return _spans(out)
+    doc, chunk, row, start = (np.concatenate(c) for c in zip(*cols, strict=True))
     order = np.lexsort((row, chunk, doc))
     new = np.concatenate([[False], (np.diff(doc[order]) != 0) | (np.diff(chunk[order]) != 0) | (np.diff(row[order]) != 0)])
     owner = np.empty(len(order), dtype=np.int64)
     owner[order] = np.cumsum(new)
     text, window = repeats_in(texts, owner, start)
     at = start[text] + window
-    order = np.lexsort((at, owner[text]))
+    order = np.lexsort((at, row[text], chunk[text]))
     text, at = text[order], at[order]
     b, e = _joined(at, at, owner[text])
-    return _table(len(b), kind=["span"] * len(b), chunk=chunk[text[b]], row=row[text[b]], start=at[b], last=at[e])
+    to, rows, starts, lasts = chunk[text[b]], row[text[b]].astype(np.int32), at[b], at[e]
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(to) != 0])).tolist() if len(to) else []
+    for x, y in zip(cuts, [*cuts[1:], len(to)], strict=False):
+        out.append((int(to[x]), rows[x:y].tobytes(), starts[x:y].tobytes(), lasts[x:y].tobytes()))
+    return _spans(out)
 
 
 # ------------------------------------------------------------ on Spark
@@ -401,7 +442,8 @@ class Repeats:
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             rows = _unpack(left.column("rows")[0].as_py())
-            r, a, z = (right.column(c).to_numpy() for c in ("row", "start", "last"))
+            kinds = {"rows": np.int32, "starts": np.int64, "lasts": np.int64}
+            r, a, z = (np.concatenate([np.zeros(0, k), *[np.frombuffer(x, k) for x in right.column(c).to_pylist()]]) for c, k in kinds.items())
             order = np.lexsort((a, r))
             r, a, z = r[order].astype(np.int64), a[order], z[order] + WINDOW
             far = np.maximum.accumulate(z + (r << 40)) - (r << 40) if len(r) else z
@@ -410,8 +452,7 @@ class Repeats:
             end = np.append(begin[1:], len(r)) - 1 if len(r) else begin
             return step(rows, a[begin], far[end] if len(r) else a, r[begin])
 
-        spans = self.spans.select(F.col("chunk").alias("of_chunk"), "row", "start", "last")
-        return self.chunks.groupBy("chunk").cogroup(spans.groupBy("of_chunk")).applyInArrow(run, schema)
+        return self.chunks.groupBy("chunk").cogroup(self.spans.groupBy("of_chunk")).applyInArrow(run, schema)
 
 
 def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Repeats:
@@ -421,21 +462,12 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     buckets = max(1, -(-size // (BUCKET_ANCHORS * (WINDOW - GRAM + 1) // 2)))
     stored = materialize(docs.mapInArrow(_chunker(text, buckets), CHUNK_SCHEMA), "chunks")
     chunks = stored.filter("rows IS NOT NULL").select("chunk", "rows")
-    anchors = stored.filter("anchors IS NOT NULL").select("bucket", "chunk", "anchors")
+    anchors = stored.filter("anchors IS NOT NULL").select("bucket", "chunk", "anchors", "runs")
     again = anchors.groupBy("bucket").applyInArrow(_again, "of_chunk bigint, anchors binary")
-    found = materialize(chunks.groupBy("chunk").cogroup(again.groupBy("of_chunk")).applyInArrow(_emit_runs(text, doc_id), RUNS), "runs")
-    runs, early = found.filter("kind = 'run'"), found.filter("kind = 'span'")
-
-    total = runs.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, -(-total // BUCKET_BYTES))
-    counts = materialize(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchors")
-    # anchors of one run in the whole corpus have nothing to be compared with
-    met = runs.join(counts, "anchor")
-    plain = met.filter(F.col("n") <= HOT_RUNS).drop("n").select(runs.columns)
-    hot = met.filter(F.col("n") > HOT_RUNS).drop("n").select(runs.columns).mapInArrow(_windows, RUNS)
-    dealt = plain.unionByName(hot).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(parts)))
-    late = dealt.groupBy("bucket").applyInArrow(_sort_bucket, RUNS)
-    return Repeats(chunks, early.unionByName(late), docs.schema, text)
+    parts = size // BUCKET_BYTES + 1
+    blocks = chunks.groupBy("chunk").cogroup(again.groupBy("of_chunk")).applyInArrow(_emit_runs(text, doc_id, parts), BLOCKS)
+    spans = materialize(blocks.groupBy("bucket").applyInArrow(_sort_bucket, SPANS), "spans")
+    return Repeats(chunks, spans, docs.schema, text)
 
 
 def _marks(raw_size: int, begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
