@@ -25,6 +25,7 @@ each; an empty table gives no sequences.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_right
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 CACHED_BYTES = 64  # longer words are encoded but not remembered
 
 # ------------------------------------------------------------ tokens
@@ -52,6 +53,9 @@ def _byte_letters() -> dict[int, str]:
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,;:!?]*)").fullmatch
 
 
+MARKS = b".,;:!?"
+
+
 class WordCoder:
     """Ids of whole texts by a ``tokenizers`` file, looked up word by word.
 
@@ -72,14 +76,16 @@ class WordCoder:
         self.words: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
         self.cores: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
-    def _core(self, part: str) -> bytes:
+    def _core(self, part: bytes) -> bytes:
+        """Ids of one part of a word: lower-cased letters, or punctuation."""
         young, old = self.cores
         got = young.get(part)
         if got is None:
             got = old.get(part)
             if got is None:
-                mapped = part.encode().decode("latin-1").translate(self.letters)
-                got = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+                mapped = part.decode("latin-1")
+                found = self.model.tokenize(mapped if part.isascii() else mapped.translate(self.letters))
+                got = struct.pack(f"<{len(found)}I", *[t.id for t in found])
             if len(young) >= CACHE_WORDS:
                 self.cores = ({}, young)
                 young = self.cores[0]
@@ -87,27 +93,30 @@ class WordCoder:
         return got
 
     def _word(self, raw: bytes) -> bytes:
+        if raw.isalpha():  # ASCII letters
+            return self._core(raw.lower())
+        if raw[-1] in MARKS and raw[:-1].isalpha():
+            return self._core(raw[:-1].lower()) + self._core(raw[-1:])
         word = raw.decode("utf-8")
         if m := PLAIN(word):
             core, marks = m.groups()
-            return (self._core(core.lower()) if core else b"") + (self._core(marks) if marks else b"")
-        return np.array(self.lib.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return (self._core(core.lower().encode()) if core else b"") + (self._core(marks.encode()) if marks else b"")
+        ids = self.lib.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def pack(self, text: str | None) -> bytes:
         """The packed ids of a text."""
         young, old = self.words
         if len(young) >= CACHE_WORDS:
             self.words = young, old = {}, young
-        out = []
-        for w in (text or "").encode("utf-8", "replace").split():
-            got = young.get(w)
-            if got is None:
-                got = old.get(w)
-                if got is None:
-                    got = self._word(w)
-                if len(w) <= CACHED_BYTES:
-                    young[w] = got
-            out.append(got)
+        words = (text or "").encode("utf-8", "replace").split()
+        out = list(map(young.get, words))
+        for at in [i for i, ids in enumerate(out) if ids is None]:
+            w = words[at]
+            got = young.get(w) or old.get(w) or self._word(w)
+            if len(w) <= CACHED_BYTES:
+                young[w] = got
+            out[at] = got
         return b"".join(out)
 
 
