@@ -35,7 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+CACHE_CORES = 300_000
 CACHED_BYTES = 64  # longer words are encoded but not remembered
 
 # ------------------------------------------------------------ tokens
@@ -63,7 +64,8 @@ class WordCoder:
     visible characters, so a text may be cut at ASCII white space.  Every distinct
     word is encoded by the library and remembered as packed little-endian ids; of
     plain words with punctuation the two parts, which the split pattern separates,
-    go to the library's model directly.  Two generations of ``CACHE_WORDS`` are kept.
+    go to the library's model directly.  Two generations of ``CACHE_WORDS`` words and
+    ``CACHE_CORES`` parts are kept: some 200 MB at most in a worker.
     """
 
     def __init__(self, path: str):
@@ -86,7 +88,7 @@ class WordCoder:
                 mapped = part.decode("latin-1")
                 found = self.model.tokenize(mapped if part.isascii() else mapped.translate(self.letters))
                 got = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-            if len(young) >= CACHE_WORDS:
+            if len(young) >= CACHE_CORES:
                 self.cores = ({}, young)
                 young = self.cores[0]
             young[part] = got

@@ -185,14 +185,14 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, max_r
 
 
 def scorer(model: Model):
-    memo: dict[str, list[tuple[str, float]]] = {}
+    memo: dict[str, tuple] = {}  # most words carry no weight and share one empty entry
 
-    def known(w: str) -> list[tuple[str, float]]:
+    def known(w: str) -> tuple:
         got = memo.get(w)
         if got is None:
             if len(memo) >= MEMO_WORDS:
                 memo.clear()
-            got = memo[w] = [(f, model.weights[f]) for f in word_features(w) if f in model.weights]
+            got = memo[w] = tuple((f, model.weights[f]) for f in word_features(w) if f in model.weights)
         return got
 
     @F.pandas_udf("double")
