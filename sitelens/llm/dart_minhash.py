@@ -211,10 +211,13 @@ def _centres(bands: DataFrame, labels: DataFrame | None, edges: DataFrame | None
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, node, class_id`` for every row of ``docs``.
+    """``doc_id, node, class_id, root, kept`` for every row of ``docs``.
 
     ``class_id`` is the smallest doc_id of the near-duplicate group; rows with the
-    same text share ``node``.
+    same text share ``node``.  Groups are told apart by ``root``, their smallest
+    node: where ids are null or repeated with different texts, several groups have
+    one ``class_id``.  ``kept`` marks the group's smallest (doc_id, node), null ids
+    last; only rows that repeat both id and text are marked together.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn(
         "node", F.unhex(F.md5(F.col("text").cast("binary")))
@@ -267,22 +270,21 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         rooted = ids.withColumn("root", F.col("node"))
     else:
         rooted = ids.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return rooted.join(smallest, "root").select("doc_id", "node", "class_id")
+    smallest = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")).alias("first"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+    return rooted.join(smallest, "root").select("doc_id", "node", F.col("first.doc_id").alias("class_id"), "root", kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of every near-duplicate group (its smallest doc_id)."""
+    """``docs`` with one row of every near-duplicate group (its smallest doc_id and node)."""
     from sitelens.llm.common import fresh
 
     groups = near_groups(docs, threshold)
-    stay = materialize(
-        groups.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")), "stay"
-    )
+    stay = materialize(groups.filter("kept").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")), "stay")
     (node,) = fresh(docs, "node")
     keys = stay.select(F.col("doc_id").alias("__id"), F.col("node").alias(node), F.col("n").alias("__n"))
     tagged = docs.withColumn(node, F.unhex(F.md5(text_or_empty().cast("binary"))))
     out = tagged.join(keys, (F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))) & (tagged[node] == keys[node])).drop(keys[node])
-    if not stay.filter("n > 1").isEmpty():  # ids or rows that are repeated
+    if not stay.filter("n > 1").isEmpty():  # rows that are repeated
         out = out.filter("__n = 1").unionByName(out.filter("__n > 1").dropDuplicates([node]))
     return out.select(docs.columns)

@@ -12,4 +12,5 @@ from sitelens.llm.dart_minhash import near_groups
 @register("op1_dart_minhash")
 def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_groups(docs).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    # class_node tells apart groups whose smallest ids are equal or null
+    return near_groups(docs).select("doc_id", "class_id", "kept", F.lower(F.hex("root")).alias("class_node"))

@@ -85,6 +85,24 @@ def test_one_of_each_group_stays(spark):
     assert dm.drop_near_copies(frame(spark, [])).count() == 0
 
 
+def test_null_and_repeated_ids_keep_every_group(spark):
+    rng = random.Random(8)
+    rows = awkward() + [(i, sentence(rng, 40), "en", "s", 1, "n", "d", "b", 1, "s") for i in (None, None, 14, 50)]
+    docs = frame(spark, rows)
+    want = classes(rows)
+    kept = Counter(repr((r["doc_id"], r["text"])) for r in dm.drop_near_copies(docs).collect())
+    assert sum(kept.values()) == len(want)
+    for g in want:
+        assert sum(kept[x] for x in g) == 1
+    groups = {}
+    texts = docs.selectExpr("doc_id", "coalesce(text, '') text", "unhex(md5(cast(coalesce(text, '') as binary))) node").distinct()
+    for r in dm.near_groups(docs).join(texts.withColumnRenamed("doc_id", "id"), "node").filter("doc_id <=> id").collect():
+        groups.setdefault(bytes(r["root"]), []).append(r)
+    assert len(groups) == len(want)
+    for g in groups.values():
+        assert len({(r["doc_id"], r["node"]) for r in g if r["kept"]}) == 1
+
+
 def test_repeated_rows_leave_one(spark):
     rows = [(5, "a b c d e f g", "en", "s", 1, "n", "d", "b", 1, "s")] * 3
     assert dm.drop_near_copies(frame(spark, rows)).count() == 1
