@@ -26,10 +26,11 @@ left are nodes of different components in one bucket; those pairs, and only
 those, are checked one by one.  So every candidate pair either is in one group
 already or has been checked, and a large group is never expanded into its pairs.
 Before texts are fetched, a pair's signatures must agree on a share of coordinates
-no less than the threshold minus ``SLACK`` (3.3 standard deviations).
+no less than the threshold minus ``SLACK`` (5.6 standard deviations); a pair at the
+threshold that shares a band fails this with probability below 1e-6.
 
 Similarity at the threshold is found with probability
-``1 - (1 - 0.8^ROWS)^BANDS`` > 0.9999.
+``1 - (1 - 0.8^ROWS)^BANDS`` > 0.9999, from which the signatures take that 1e-6.
 
 Defined cases: null text is empty, and all texts without a word form one group;
 texts shorter than a shingle match only when their words are equal; repeated rows
@@ -54,7 +55,7 @@ COORDINATES = BANDS * ROWS
 THRESHOLD = 0.8
 #: A candidate is checked on its text if the share of agreeing coordinates, whose
 #: standard deviation is 0.036 at 0.8, lies at most this far below the threshold.
-SLACK = 0.12
+SLACK = 0.2
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter
+from math import comb
 
 import numpy as np
 
@@ -103,6 +104,13 @@ def test_null_and_repeated_ids_keep_every_group(spark):
         assert len({(r["doc_id"], r["node"]) for r in g if r["kept"]}) == 1
 
 
+def test_signatures_hardly_lose_pairs_at_the_threshold():
+    least = int((dm.THRESHOLD - dm.SLACK) * dm.COORDINATES)
+    free = dm.COORDINATES - dm.ROWS  # a shared band agrees anyway
+    lost = sum(comb(free, i) * dm.THRESHOLD**i * (1 - dm.THRESHOLD) ** (free - i) for i in range(least - dm.ROWS))
+    assert lost < 1e-6
+
+
 def test_repeated_rows_leave_one(spark):
     rows = [(5, "a b c d e f g", "en", "s", 1, "n", "d", "b", 1, "s")] * 3
     assert dm.drop_near_copies(frame(spark, rows)).count() == 1
