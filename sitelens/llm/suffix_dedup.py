@@ -24,12 +24,15 @@ How the suffix sort is distributed:
    windows share their anchor, no repeat is split between buckets.
 5. *Hot anchors.*  An anchor with more than ``HOT_RUNS`` runs (a passage that a
    third of all texts quote, each in its own surroundings) is not one group: its
-   windows are dealt to buckets one by one, by a hash of all their bytes.
+   windows are dealt to buckets one by one, by a hash of all their bytes.  Of equal
+   windows in a chunk the first is emitted, the others are repeats already, so a
+   bucket gets a window's text at most once from each chunk.
 6. *Cutting.*  Repeats return to their chunk as byte spans; touching or overlapping
    spans are merged per row and cut out.
 
 Hashes only decide what is looked at and where; every repeat is confirmed byte by
-byte, except that equal runs *within one chunk* are told by 128 hash bits.
+byte, except that equal runs and equal hot windows *within one chunk* are told by
+128 hash bits.
 
 Defined cases: null text is empty; texts shorter than a window never change; rows
 are ordered by doc_id (null first), rows with one doc_id by their place in the
@@ -262,23 +265,29 @@ def _emit_runs(text: str, doc_id: str, parts: int):
         # equal runs of this chunk: 128 bits of hash and the length
         roll = Rolling(data)
         one, two = roll.of(start, end), Rolling(data, _BASE_2).of(start, end)
-        order = np.lexsort((start, row, number[row], size, two, one))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]) | (size[order][1:] != size[order][:-1])
-        first, later = np.sort(order[new]), np.sort(order[~new])
+        first, later = _earliest((one, two, size), (start, row, number[row]))
         out = []
         if len(later):
             inside = start[later] - at[row[later]]
             s, e = _joined(inside, inside + size[later] - 1, row[later])
             lasts = (inside + size[later] - 1)[e]
             out.append((int(chunk % parts), chunk, row[later][s].astype(np.int32).tobytes(), None, inside[s].tobytes(), lasts.tobytes(), 0, None))
-        # a hot anchor's runs go out window by window, dealt by all bytes of the window
+        # a hot anchor's runs go out window by window, dealt by all bytes of the window;
+        # of equal windows of this chunk the earliest, the others are repeats already
         hot_runs, plain = first[hot[first]], first[~hot[first]]
         w = np.repeat(start[hot_runs], size[hot_runs]) + _counts(size[hot_runs])
+        w_row, w_hash = np.repeat(row[hot_runs], size[hot_runs]), roll.of(w, w + WINDOW)
+        if len(w):
+            once, later = _earliest((w_hash, Rolling(data, _BASE_2).of(w, w + WINDOW)), (w, w_row, number[w_row]))
+            if len(later):
+                inside = w[later] - at[w_row[later]]
+                s, e = _joined(inside, inside, w_row[later])
+                out.append((int(chunk % parts), chunk, w_row[later][s].astype(np.int32).tobytes(), None, inside[s].tobytes(), inside[e].tobytes(), 0, None))
+            w, w_row, w_hash = w[once], w_row[once], w_hash[once]
         start = np.concatenate([start[plain], w])
         end = np.concatenate([end[plain], w + WINDOW])
-        row = np.concatenate([row[plain], np.repeat(row[hot_runs], size[hot_runs])])
-        to = np.concatenate([mix(key[plain]), roll.of(w, w + WINDOW)]) % np.uint64(parts)
+        row = np.concatenate([row[plain], w_row])
+        to = np.concatenate([mix(key[plain]), w_hash]) % np.uint64(parts)
         order = np.argsort(to, kind="stable")
         cuts = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0]))
         raw = data.tobytes()
@@ -295,6 +304,17 @@ def _emit_runs(text: str, doc_id: str, parts: int):
     return run
 
 
+def _earliest(values: tuple[np.ndarray, ...], place: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of items with equal ``values`` the one that comes first, and all the others;
+    ``place`` as for ``lexsort``, the deciding part last."""
+    order = np.lexsort((*place, *values))
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for v in values:
+        new[1:] |= v[order][1:] != v[order][:-1]
+    return np.sort(order[new]), np.sort(order[~new])
+
+
 def _counts(sizes: np.ndarray) -> np.ndarray:
     """0, 1, .. up to each size, one after the other."""
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)

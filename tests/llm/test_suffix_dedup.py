@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,6 +61,34 @@ def test_against_brute_force(spark, tmp_path, monkeypatch, hot, bucket):
     assert sum(v[1] for v in got.values()) > 3000
 
 
+def test_a_chunk_sends_a_hot_window_once():
+    rng = random.Random(6)
+    quote = sentence(rng, 40)[:130]
+    texts = [sentence(rng, 15) + quote + sentence(rng, 15) for _ in range(50)]
+    numbers = rng.sample(range(50), 50)
+    rows = pa.record_batch({"doc_id": pa.array(numbers, pa.int64()), "text": pa.array(texts)})
+    data, at = sd._bytes_of(pa.Table.from_batches([rows]), "text")
+    hot = np.unique(sd.runs_of(data, at)[2] | np.uint64(1))
+    left, right = pa.table({"chunk": [7], "rows": [sd._pack([rows])]}), pa.table({"anchors": [hot.tobytes()]})
+    sent, known = {}, set()
+    for b in sd._emit_runs("text", "doc_id", 3)(left, right).to_pylist():
+        row, start, size = np.frombuffer(b["rows"], np.int32), np.frombuffer(b["starts"], np.int64), np.frombuffer(b["sizes"], np.int64)
+        if b["texts"] is None:
+            known |= {(r, i) for r, x, y in zip(row.tolist(), start.tolist(), size.tolist(), strict=True) for i in range(x, y + 1)}
+            continue
+        raw = pa.decompress(b["texts"], decompressed_size=b["n_bytes"], codec="zstd", asbytes=True)
+        for j, (r, x) in enumerate(zip(row.tolist(), start.tolist(), strict=True)):
+            assert sent.setdefault(raw[100 * j : 100 * j + 100], (r, x)) == (r, x)
+    want, places = {}, set()
+    for r in sorted(range(50), key=numbers.__getitem__):
+        t = texts[r].encode()
+        for i in range(len(t) - 99):
+            want.setdefault(t[i : i + 100], (r, i))
+            places.add((r, i))
+    assert sent == want
+    assert known == places - set(want.values()) and len(known) > 49 * 30
+
+
 def test_runs_across_blocks(monkeypatch):
     rng = random.Random(1)
     data = np.frombuffer(sentence(rng, 4000).encode(), dtype=np.uint8)
