@@ -64,7 +64,8 @@ class WordCoder:
     visible characters, so a text may be cut at ASCII white space.  Every distinct
     word is encoded by the library and remembered as packed little-endian ids; of
     plain words with punctuation the two parts, which the split pattern separates,
-    go to the library's model directly.  Two generations of ``CACHE_WORDS`` words and
+    go to the library's model directly.  Special tokens spelt out in a text get their
+    own ids, as in the library's plain call; they hold no white space.  Two generations of ``CACHE_WORDS`` words and
     ``CACHE_CORES`` parts are kept: some 200 MB at most in a worker.
     """
 
@@ -72,7 +73,6 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.model = self.lib.model
         self.letters = "".join(v for _, v in sorted(_byte_letters().items()))
         self.words: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})

@@ -14,6 +14,7 @@ from tests.llm.helpers import awkward, frame
 PATH = P.path("word_bpe_49k.json")
 LIB = Tokenizer.from_file(PATH)
 LIB.encode_special_tokens = True
+PLAIN_LIB = Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=300, deadline=None)
@@ -23,6 +24,18 @@ def test_same_ids_as_the_library(text):
     assert pk.word_coder(PATH).pack(text) == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|startoftext|>", "<|endoftext|>", "<|EndOfText|>", "<|", "|>", "hello", "É", "\u0301", "ß", " ", "\n", "\u3000", ".", "'s", "7"]), max_size=12).map("".join))
+def test_special_strings_as_in_the_plain_call(text):
+    want = np.asarray(PLAIN_LIB.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert pk.word_coder(PATH).pack(text) == want
+
+
+def test_special_strings_have_their_own_ids():
+    got = np.frombuffer(pk.word_coder(PATH).pack("hello <|endoftext|> world<|startoftext|>"), dtype="<u4")
+    assert got.tolist() == [3306, 49407, 1002, 49406]
+
+
 def test_plan_uses_every_document_once_and_fits():
     rng = random.Random(2)
     for capacity in (10, 100, 4096):
