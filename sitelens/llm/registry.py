@@ -12,6 +12,7 @@ from sitelens.llm import (  # noqa: F401
     q_pack,
     q_suffix,
     q_toxic,
+    q_trie,
     q_url,
 )
 from sitelens.llm.base import ORACLE, QUERIES  # noqa: F401
