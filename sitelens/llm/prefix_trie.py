@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import materialize, text_or_empty
 
 BLOCK_IDS = 4096
+BATCH = 4096  # rows of an output batch
 SHARD_PATHS = 20_000
 SAMPLE = 16
 MAX_SHARDS = 4096
@@ -93,42 +94,39 @@ def conversation_paths(conversations: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ members that end at a node
 
 
-def _id_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of one path's ascending ids, joined, at most ``BLOCK_IDS`` in a block."""
-    key, ids = None, []
-    out: list[tuple] = []
+def _blocker(most: int):
+    """Runs of one path's ascending ids, joined, at most ``most`` in a block."""
 
-    def batch() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True))
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["path_key", "first_id", "n", "ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids = None, []
+        out: list[tuple] = []
+        for b in batches:
+            for k, i in zip(b.column("path_key").to_pylist(), b.column("conv_id").to_pylist(), strict=True):
+                if ids and (k != key or len(ids) >= most):
+                    out.append((key, ids[0], len(ids), ",".join(map(str, ids))))
+                    ids = []
+                    if len(out) >= BATCH:
+                        yield _batch(out, "path_key", "first_id", "n", "ids")
+                        out.clear()
+                key = k
+                ids.append(i)
+        if ids:
+            out.append((key, ids[0], len(ids), ",".join(map(str, ids))))
+        if out:
+            yield _batch(out, "path_key", "first_id", "n", "ids")
 
-    for b in batches:
-        for k, i in zip(b.column("path_key").to_pylist(), b.column("conv_id").to_pylist(), strict=True):
-            if ids and (k != key or len(ids) >= BLOCK_IDS):
-                out.append((key, ids[0], len(ids), ",".join(map(str, ids))))
-                ids = []
-                if len(out) >= 4096:
-                    yield batch()
-                    out.clear()
-            key = k
-            ids.append(i)
-    if ids:
-        out.append((key, ids[0], len(ids), ",".join(map(str, ids))))
-    if out:
-        yield batch()
+    return run
+
+
+def _batch(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
 
 def _fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``path_key, rep, n, ends_sha256``: blocks in order through one running hash a path."""
     key, rep, n, running = None, None, 0, None
     out: list[tuple] = []
-
-    def batch() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True))
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["path_key", "rep", "n", "ends_sha256"])
-
     for b in batches:
         for k, first, m, ids in zip(*(b.column(c).to_pylist() for c in ("path_key", "first_id", "n", "ids")), strict=True):
             if k != key:
@@ -139,19 +137,19 @@ def _fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 running.update(b",")
             running.update(ids.encode())
             n += m
-        if len(out) >= 4096:
-            yield batch()
+        if len(out) >= BATCH:
+            yield _batch(out, "path_key", "rep", "n", "ends_sha256")
             out.clear()
     if key is not None:
         out.append((key, rep, n, running.hexdigest()))
     if out:
-        yield batch()
+        yield _batch(out, "path_key", "rep", "n", "ends_sha256")
 
 
 def path_ends(paths: DataFrame) -> DataFrame:
     """``path_key, rep, n, ends_sha256`` of every distinct whole path in ``path_key, conv_id``."""
     ids = paths.select("path_key", "conv_id").repartitionByRange("path_key", "conv_id").sortWithinPartitions("path_key", "conv_id")
-    blocks = ids.mapInArrow(_id_blocks, "path_key string, first_id bigint, n bigint, ids string")
+    blocks = ids.mapInArrow(_blocker(BLOCK_IDS), "path_key string, first_id bigint, n bigint, ids string")
     ordered = blocks.repartition("path_key").sortWithinPartitions("path_key", "first_id")
     return ordered.mapInArrow(_fold_blocks, "path_key string, rep bigint, n bigint, ends_sha256 string")
 
