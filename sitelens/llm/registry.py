@@ -7,8 +7,10 @@ from sitelens.llm import (  # noqa: F401
     q_chat,
     q_exact,
     q_fingerprint,
+    q_lang,
     q_lm,
     q_near,
+    q_negatives,
     q_pack,
     q_suffix,
     q_toxic,
