@@ -6,29 +6,24 @@ first accepted event and lasts ``window`` seconds (half-open); at most
 it.  ``refresh_on_accept`` models the reference's fallback where an unknown
 expiry is taken as a full hour, i.e. every accepted event restarts the hour.
 
-Batch plan:
-1. one row per (key, hour bucket) with its first and last event time: a
-   partial + final aggregate, so a hot key is pre-aggregated before it
-   shuffles;
-2. on that compact table (bounded by the time span, not by the event count),
-   a gap of at least one window between consecutive non-empty buckets starts
-   a new burst; the window must have expired there, so bursts are independent;
-3. each event looks up its burst (salted lookup join), and every burst runs
-   the exact sequential state machine in ``applyInPandas``.
-A single uninterrupted burst of one key is inherently sequential and is one
-task; see README "Open issues".
+The batch form finds window openings by successor pointers
+(``operators/windows.py``); the stream keeps ``(expiry, count, start)`` per key.
+
+Defined cases: an event without a time, or whose limit is null or below 1, is not
+accepted, opens no window and has ``window_start_us`` null and count 0; a null key
+is a key of its own; in the batch form a key has one limit.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.config import RATE_WINDOW_SECONDS
-from sitelens.operators.lookup import lookup_join
+from sitelens.operators.windows import ranked
 
 US = 1_000_000
 
@@ -64,18 +59,6 @@ def _run(ts: np.ndarray, limit: np.ndarray, window_us: int, refresh: bool, expir
     return acc, starts, counts, expiry, count, start
 
 
-def _limiter(window_us: int, refresh: bool):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "id"], kind="mergesort")
-        acc, starts, counts, *_ = _run(pdf["ts_us"].to_numpy(), pdf["lim"].to_numpy(), window_us, refresh, -(2**62), 0, 0)
-        return pd.DataFrame(
-            {"id": pdf["id"].to_numpy(), "key": pdf["key"].to_numpy(), "accepted": acc,
-             "window_start_us": starts, "count_in_window": counts}
-        )
-
-    return fn
-
-
 def rate_limit(
     events: DataFrame,
     key: Column,
@@ -87,19 +70,19 @@ def rate_limit(
 ) -> DataFrame:
     """W1/W2 batch: ``id, key, accepted, window_start_us, count_in_window`` per event."""
     lim = limit if isinstance(limit, Column) else F.lit(int(limit))
-    window_us = int(window_seconds) * US
     e = events.select(
         F.col(id_col).cast("bigint").alias("id"), key.cast("string").alias("key"),
-        F.unix_micros(ts.cast("timestamp")).alias("ts_us"), lim.cast("bigint").alias("lim"),
-    ).withColumn("hb", F.floor(F.col("ts_us") / F.lit(window_us)).cast("bigint"))
-    buckets = e.groupBy("key", "hb").agg(F.min("ts_us").alias("tmin"), F.max("ts_us").alias("tmax"))
-    w = Window.partitionBy("key").orderBy("hb")
-    new_burst = F.lag("tmax").over(w).isNull() | (F.col("tmin") - F.lag("tmax").over(w) >= window_us)
-    bursts = buckets.select(
-        "key", "hb", F.sum(new_burst.cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("burst")
+        F.unix_micros(ts.cast("timestamp")).alias("t"), lim.cast("bigint").alias("lim"),
+    ).withColumn("k", F.coalesce(F.concat(F.lit("="), "key"), F.lit("")))
+    counts = F.coalesce(F.col("t").isNotNull() & (F.col("lim") > 0), F.lit(False))
+    inside = ranked(e.filter(counts), int(window_seconds) * US, refresh_on_accept).select(
+        "id", "key", (F.col("rank") <= F.col("lim")).alias("accepted"), F.col("opened").alias("window_start_us"),
+        F.least("rank", "lim").alias("count_in_window"),
+    )
+    outside = e.filter(~counts).select(
+        "id", "key", F.lit(False).alias("accepted"), F.lit(None).cast("bigint").alias("window_start_us"), F.lit(0).cast("bigint").alias("count_in_window")
     )
-    tagged = lookup_join(e, bursts, ["key", "hb"], ["id"])
-    return tagged.groupBy("key", "burst").applyInPandas(_limiter(window_us, refresh_on_accept), OUT_SCHEMA)
+    return inside.unionByName(outside)
 
 
 def admission_keys(requests: DataFrame, ip: Column, max_per_hour: int = 10, ai_per_hour: int = 5) -> DataFrame:
