@@ -115,6 +115,20 @@ def features(text: str) -> np.ndarray:
     return (counts * (SCALE / max(counts.sum(), 1))).astype(np.float32)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The features that are not zero: places, then values."""
+    at = np.nonzero(x)[0]
+    return at.astype(np.uint16).tobytes() + x[at].tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), 1 << BITS), np.float32)
+    for k, b in enumerate(rows):
+        n = len(b) // 6
+        out[k, np.frombuffer(b, np.uint16, n)] = np.frombuffer(b, np.float32, n, 2 * n)
+    return out
+
+
 # ------------------------------------------------------------------ machines
 
 
@@ -186,7 +200,7 @@ class Model:
 def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
     node, first, second = rows["node"].iat[0], rows["a"].iat[0], rows["b"].iat[0]
     rows = rows.sort_values("h")
-    x = np.stack([np.frombuffer(v, np.float32) for v in rows["x"]])
+    x = unpacked(rows["x"].tolist())
     w, b = fit_pair(x, np.where(rows["own"] == first, 1.0, -1.0))
     return pd.DataFrame({"node": [node], "a": [first], "b": [second], "w": [w.tobytes()], "bias": [b]})
 
@@ -227,7 +241,7 @@ def fit(docs: DataFrame, lang: Column, allowed: Column | None = None, per_class:
 
     @F.pandas_udf("binary")
     def encoded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: features(t).tobytes())
+        return texts.map(lambda t: packed(features(t)))
 
     duels = [("", a, b) for a, b in combinations(families, 2)]
     duels += [(f, a, b) for f in families for a, b in combinations(members[f], 2)]

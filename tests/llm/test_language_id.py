@@ -40,6 +40,11 @@ def test_features_of_whole_texts(monkeypatch, text, piece):
     assert np.array_equal(li.gram_counts(text), plain_counts(text))
 
 
+def test_packed_features_come_back():
+    x = np.stack([li.features(t) for t in ("", "eins zwei", "a" * 99)])
+    assert np.array_equal(li.unpacked([li.packed(v) for v in x]), x)
+
+
 def test_pair_is_the_svm_optimum():
     """Dual descent against plain subgradient steps on the primal objective."""
     rng = np.random.default_rng(1)
