@@ -58,10 +58,11 @@ def sequential(rows, refresh):
     return out
 
 
+@pytest.mark.parametrize("fold", [0, 150, 1 << 17])  # all chained by pointers, some, none
 @pytest.mark.parametrize("refresh", [False, True])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_batch_equals_the_sequential_rule(spark, refresh, seed):
-    rows = traffic(seed)
+def test_batch_equals_the_sequential_rule(spark, monkeypatch, refresh, fold):
+    monkeypatch.setattr(windows, "FOLD", fold)
+    rows = traffic(fold + 1)
     df = spark.createDataFrame(rows, SCHEMA)
     got = rl.rate_limit(df, F.col("key"), F.timestamp_micros("us"), "id", F.col("lim"), refresh_on_accept=refresh).collect()
     want = sequential(rows, refresh)
@@ -70,16 +71,16 @@ def test_batch_equals_the_sequential_rule(spark, refresh, seed):
     assert {r["id"]: r["key"] for r in got} == {i: k for i, k, *_ in rows}
 
 
-def test_no_python_and_no_window_over_a_key(spark):
+def test_no_python_and_no_window_over_the_events_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(windows, "FOLD", 100)
     df = spark.createDataFrame(traffic(1), SCHEMA)
     out = rl.rate_limit(df, F.col("key"), F.timestamp_micros("us"), "id", F.col("lim"))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
-    indexed, slices = windows.numbered(
-        df.filter("us IS NOT NULL AND lim > 0").select("id", F.col("us").alias("t"), "lim", F.coalesce("key", F.lit("")).alias("k")), HOUR
-    )
+    e = df.filter("us IS NOT NULL AND lim > 0").select("id", F.col("us").alias("t"), "lim", F.coalesce("key", F.lit("")).alias("k"))
+    slices = windows.slices_of(e.withColumn("slice", windows.slice_of(F.col("t"), HOUR)), HOUR)
     # what a window over a whole key sorts is slices, not events
-    assert slices.count() < indexed.count()
+    assert slices.count() < e.count() and slices.agg(F.sum("n")).first()[0] == e.count()
     assert slices.groupBy("k", "slice").count().filter("count > 1").count() == 0
 
 
