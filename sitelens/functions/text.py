@@ -14,6 +14,8 @@ PHP_TRIM_CHARS = " \t\n\r\x00\x0b"
 # Named character references of HTML 4, from the standard library's table.
 NAMED_REFERENCES = {f"{name};": chr(cp) for name, cp in sorted(name2codepoint.items())} | {"apos;": "'"}
 
+_REFERENCE_TEXT = "\x02".join(f"{name}\x01{char}" for name, char in NAMED_REFERENCES.items())
+
 
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -40,7 +42,7 @@ def unescape_entities(c) -> Column:
     """Character references decoded once, left to right: ``&#8211;``, ``&#x2013;`` and
     the named ones of HTML 4 (which need their semicolon).  Anything else stays."""
     c = col_(c)
-    named = F.create_map(*[F.lit(x) for kv in NAMED_REFERENCES.items() for x in kv])
+    named = F.str_to_map(F.lit(_REFERENCE_TEXT), F.lit("\x02"), F.lit("\x01"))  # folded to one literal
 
     def piece(s: Column) -> Column:
         ref = F.regexp_extract(s, r"^(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*;)", 0)
@@ -59,20 +61,31 @@ def unescape_entities(c) -> Column:
 
 
 def strip_tags(c) -> Column:
-    """Remove markup, keep text (``strip_tags`` / DOM textContent)."""
-    return F.regexp_replace(col_(c), r"<[^>]*>", "")
+    """Markup removed, text kept (PHP ``strip_tags``): a ``<`` before white space is text,
+    and a tag that never ends reaches to the end."""
+    return F.regexp_replace(col_(c), r"<(?!\s)[^>]*+(?:>|\z)", "")
+
+
+def dom_text(c) -> Column:
+    """Markup removed as a parser would: only ``<`` before a letter, ``/``, ``!`` or ``?`` opens some."""
+    return F.regexp_replace(col_(c), r"<[a-zA-Z/!?][^>]*+(?:>|\z)", "")
 
 
 def text_content(c) -> Column:
     """textContent of an element's inner HTML: tags removed, entities decoded, PHP-trimmed."""
-    return php_trim(unescape_entities(strip_tags(c)))
+    return php_trim(unescape_entities(dom_text(c)))
+
+
+def _without_elements(c: Column, name: str) -> Column:
+    """Whole elements removed; what has no closing tag after it stays, and isn't searched."""
+    closed = F.regexp_extract(c, rf"(?is)^(.*</{name}\s*+>)", 1)
+    kept = F.regexp_replace(closed, rf"(?is)<{name}\b[^>]*+>.*?</{name}\s*+>", "")
+    return F.concat(kept, F.substring(c, F.length(closed) + 1, F.length(c)))
 
 
 def wp_strip_all_tags(c) -> Column:
     """WordPress ``wp_strip_all_tags``: script/style elements dropped, tags removed, trimmed."""
-    c = F.regexp_replace(col_(c), r"(?is)<script\b[^>]*>.*?</script\s*>", "")
-    c = F.regexp_replace(c, r"(?is)<style\b[^>]*>.*?</style\s*>", "")
-    return php_trim(strip_tags(c))
+    return php_trim(strip_tags(_without_elements(_without_elements(col_(c), "script"), "style")))
 
 
 def cp_length(c) -> Column:

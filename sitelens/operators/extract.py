@@ -1,17 +1,22 @@
 """HTML feature extraction (H0-H14) as native Catalyst expressions.
 
-No DOM: a page is scanned with a few linear regex passes inside the JVM
-(built-in expressions, no Python per row):
-
-1. mask comments, then empty the bodies of <script> and <style>;
-2. one scan for the tags that carry features (meta, link, img, a), one for
-   headings, one for scripts; each yields an array of matches in document order.
-   The scans stand in a projection of their own and never inside a lambda, so a
-   page is read a fixed number of times however many tags it has;
+No DOM: a page is scanned with regex passes inside the JVM (built-in expressions,
+no Python per row) whose cost is linear in the page whatever is left open in it:
+
+1. one scan steps over comments, scripts and styles in document order, so a comment
+   opener inside a script is script text and a script inside a comment is comment;
+   comments are removed and script and style bodies emptied.  What is never closed
+   reaches to the end of the page, so no opener is scanned to the end twice;
+2. one scan for the tags that carry features (meta, link, img, a), one split at the
+   heading openers, one scan for scripts.  They stand in projections of their own and
+   never inside a lambda, so a page is read a fixed number of times however many
+   tags it has;
 3. the pieces of a match (tag, attributes, text) and single attributes are read
-   from the match itself.  Tags end at the first ``>`` outside quotes.  Repeated
-   groups are possessive, which Java runs as a loop: no stack grows with the
-   number of attributes;
+   from the match itself.  A quote opens a value right after ``=`` only; a tag ends
+   at the first ``>`` outside quoted values, and one that never ends is no tag.  A
+   heading ends at a closing heading tag, at the next heading, or with the page.
+   Repeated groups are possessive, which Java runs as a loop: no stack grows with
+   the number of attributes;
 4. element text has inner tags stripped, character references decoded, and is
    PHP-trimmed.
 """
@@ -21,29 +26,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.functions.text import byte_length, cp_length, php_trim, text_content, unescape_entities
+from sitelens.functions.text import byte_length, cp_length, dom_text, php_trim, unescape_entities
 from sitelens.functions.url import url_host
 
-COMMENT_RE = r"(?s)<!--.*?-->"
-SCRIPT_BODY_RE = r"(?is)(<script\b[^>]*>).*?</script\s*>"
-STYLE_BODY_RE = r"(?is)(<style\b[^>]*>).*?</style\s*>"
-# what may stand between a tag's name and its closing bracket
-_REST = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+'|["'])*+"""
-ANY_TAG_RE = rf"(?is)<[a-z][a-z0-9]*+{_REST}>[^<]*+"
-FEATURE_TAG_RE = rf"(?i)<(?:meta|link|img|a)\b{_REST}>"
-TAG_PARTS_RE = rf"(?is)^<([a-z][a-z0-9]*+)({_REST})>(.*)$"
-TITLE_RE = rf"(?is)<title\b{_REST}>(.*?)</title\s*>"
-HEADING_RE = rf"(?is)<h[1-6]\b{_REST}>.*?</h[1-6]\s*>"
-HEADING_PARTS_RE = rf"(?is)^<(h[1-6])\b{_REST}>(.*)</h[1-6]\s*>$"
-SCRIPT_RE = rf"(?is)<script\b{_REST}>.*?</script\s*>"
-SCRIPT_PARTS_RE = rf"(?is)^<script\b({_REST})>(.*)</script\s*>$"
+# what stands between a tag's name and its closing bracket, or the end of the page
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>"'][^\s>]*+)?+)*+"""
+_END = r"(?=[\s/>]|\z)"  # of a tag's name
+
+
+def _element(name: str, group: str) -> str:
+    """A raw-text element; its two tags in groups, the body between them in ``group``."""
+    return rf"(<{name}{_END}{_REST}>?+){group}(</{name}\s*+>|\z)"
+
+
+RAW_RE = rf"(?is)<!--.*?(?:-->|\z)|{_element('script', '.*?')}|{_element('style', '.*?')}"
+SCRIPT_PARTS_RE = rf"(?is)^<script({_REST})>(.*?)(?:</script\s*+>)?+\z"
+ANY_TAG_RE = rf"(?is)<[a-z][a-z0-9:_.\-]*+{_REST}>?+[^<]*+"
+FEATURE_TAG_RE = rf"(?i)<(?:meta|link|img|a){_END}{_REST}>?+"
+TAG_PARTS_RE = rf"(?is)^<([a-z][a-z0-9:_.\-]*+)({_REST})>(.*)\z"
+TITLE_RE = rf"(?is)<title{_END}{_REST}>?+(.*?)(?:</title\s*+>|\z)"
+HEADING_SPLIT_RE = r"(?i)(?=<h[1-6][\s/>])"
+HEADING_PARTS_RE = rf"(?is)^<(h[1-6]){_REST}>(.*?)(?:</h[1-6]\s*+>|\z)"
 
 LD_JSON_TYPE = "application/ld+json"
 # JSON texts PHP treats as false after decoding (blank-free form).
 FALSY_JSON = ["{}", "[]", "0", "0.0", "-0", '""', '"0"', "false", "null"]
 
 
-_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
 _JUNK = r"""[\s/"'=]*+"""
 
 
@@ -54,11 +64,10 @@ def _upto(name: str) -> str:
     return rf"(?is)^{_JUNK}(?:{other})*+{name}"
 
 
-def attr(attrs: Column, name: str) -> Column:
-    """Decoded value of the first attribute ``name`` in an attribute string ('' if absent)."""
+def raw_attr(attrs: Column, name: str) -> Column:
+    """Value of the first attribute ``name`` in an attribute string ('' if absent), not decoded."""
     raw = F.regexp_extract(attrs, rf"{_upto(name)}\s*+=\s*+({_VALUE})", 1)
-    quoted = raw.startswith('"') | raw.startswith("'")
-    return unescape_entities(F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw))
+    return F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1$""", "$2")
 
 
 def has_attr(attrs: Column, name: str) -> Column:
@@ -67,9 +76,7 @@ def has_attr(attrs: Column, name: str) -> Column:
 
 def mask_markup(body: Column) -> Column:
     """Comments removed, script/style bodies emptied (their tags kept)."""
-    no_comments = F.regexp_replace(body, COMMENT_RE, "")
-    m = F.regexp_replace(no_comments, SCRIPT_BODY_RE, "$1</script>")
-    return F.regexp_replace(m, STYLE_BODY_RE, "$1</style>")
+    return F.regexp_replace(body, RAW_RE, "$1$2$3$4")
 
 
 def extract_elements(pages: DataFrame, id_col: str = "page_id", body_col: str = "body") -> DataFrame:
@@ -79,7 +86,8 @@ def extract_elements(pages: DataFrame, id_col: str = "page_id", body_col: str =
     Comments and script/style bodies are not scanned.
     """
     found = F.regexp_extract_all(mask_markup(F.col(body_col)), F.lit(ANY_TAG_RE), 0)
-    z = pages.select(id_col, F.posexplode(found).alias("pos", "e"))
+    # a last tag that never ends is none
+    z = pages.select(id_col, F.posexplode(found).alias("pos", "e")).where(F.col("e").rlike(TAG_PARTS_RE))
     return z.select(
         id_col,
         F.col("pos").cast("bigint").alias("pos"),
@@ -111,16 +119,16 @@ def with_page_features(crawl: DataFrame, url_col: str = "url", body_col: str = "
     stage1 = crawl.select(
         "*",
         mask_markup(body).alias("_masked"),
-        F.regexp_replace(body, COMMENT_RE, "").alias("_nocomment"),
+        F.regexp_extract_all(body, F.lit(RAW_RE), 0).alias("_raw"),
     )
     scanned = stage1.select(
         "*",
         F.regexp_extract_all(F.col("_masked"), F.lit(FEATURE_TAG_RE), 0).alias("_found_tags"),
-        F.regexp_extract_all(F.col("_masked"), F.lit(HEADING_RE), 0).alias("_found_heads"),
-        F.regexp_extract_all(F.col("_nocomment"), F.lit(SCRIPT_RE), 0).alias("_found_scripts"),
-        text_content(F.regexp_extract(F.col("_masked"), TITLE_RE, 1)).alias("_title"),
+        F.split(F.col("_masked"), HEADING_SPLIT_RE, -1).alias("_found_heads"),
+        F.filter("_raw", lambda r: F.lower(F.substring(r, 1, 7)) == "<script").alias("_found_scripts"),
+        dom_text(F.regexp_extract(F.col("_masked"), TITLE_RE, 1)).alias("_title_text"),
         byte_length(body).alias("_bytes"),
-    ).drop("_masked", "_nocomment", body_col)
+    ).drop("_masked", "_raw", body_col)
     stage2 = scanned.select(
         "*",
         F.transform(
@@ -129,45 +137,59 @@ def with_page_features(crawl: DataFrame, url_col: str = "url", body_col: str = "
         ).alias("_tags"),
         F.transform(
             "_found_heads",
-            lambda h: F.struct(F.lower(F.regexp_extract(h, HEADING_PARTS_RE, 1)).alias("level"), text_content(F.regexp_extract(h, HEADING_PARTS_RE, 2)).alias("text")),
+            lambda h: F.struct(F.lower(F.regexp_extract(h, HEADING_PARTS_RE, 1)).alias("level"), dom_text(F.regexp_extract(h, HEADING_PARTS_RE, 2)).alias("text")),
         ).alias("_heads"),
         F.transform(
             "_found_scripts",
-            lambda s: F.struct(attr(F.regexp_extract(s, SCRIPT_PARTS_RE, 1), "type").alias("type"), F.regexp_extract(s, SCRIPT_PARTS_RE, 2).alias("text")),
+            lambda s: F.struct(raw_attr(F.regexp_extract(s, SCRIPT_PARTS_RE, 1), "type").alias("type"), F.regexp_extract(s, SCRIPT_PARTS_RE, 2).alias("text")),
         ).alias("_scripts"),
     ).drop("_found_tags", "_found_heads", "_found_scripts")
 
-    tags = F.col("_tags")
-    stage3 = stage2.select(
+    # the attributes that count, by tag: three values and whether the last named one is there
+    def values(t: Column) -> Column:
+        is_meta, is_link, is_img, a = t["tag"] == "meta", t["tag"] == "link", t["tag"] == "img", t["a"]
+        href = F.when(is_link | (t["tag"] == "a"), raw_attr(a, "href")).otherwise("")
+        return F.struct(
+            t["tag"].alias("tag"),
+            F.array(
+                F.when(is_meta, raw_attr(a, "name")).when(is_link, raw_attr(a, "rel")).when(is_img, raw_attr(a, "src")).otherwise(""),
+                F.when(is_meta, raw_attr(a, "property")).when(is_img, raw_attr(a, "alt")).otherwise(href),
+                F.when(is_meta, raw_attr(a, "content")).otherwise(""),
+            ).alias("v"),
+            F.when(is_meta, has_attr(a, "content")).otherwise(~is_img & has_attr(a, "href")).alias("has"),
+        )
+
+    n_heads = F.size("_heads")
+    read = stage2.select("*", F.transform("_tags", values).alias("_read")).drop("_tags")
+    # references are decoded here and nowhere else
+    decoded = read.select(
         "*",
+        F.transform("_read", lambda t: F.struct(t["tag"].alias("tag"), F.transform(t["v"], unescape_entities).alias("v"), t["has"].alias("has"))).alias("_done"),
         F.transform(
-            F.filter(tags, lambda t: t["tag"] == "meta"),
-            lambda t: F.struct(
-                attr(t["a"], "name").alias("name"),
-                attr(t["a"], "property").alias("property"),
-                attr(t["a"], "content").alias("content"),
-                has_attr(t["a"], "content").alias("has_content"),
-            ),
-        ).alias("_metas"),
-        F.transform(
-            F.filter(tags, lambda t: t["tag"] == "link"),
-            lambda t: F.struct(attr(t["a"], "rel").alias("rel"), attr(t["a"], "href").alias("href"), has_attr(t["a"], "href").alias("has_href")),
-        ).alias("_links"),
-        F.transform(
-            F.filter(tags, lambda t: t["tag"] == "img"),
-            lambda t: F.struct(attr(t["a"], "src").alias("src"), attr(t["a"], "alt").alias("alt")),
-        ).alias("_imgs"),
-        F.transform(
-            F.filter(tags, lambda t: (t["tag"] == "a") & has_attr(t["a"], "href")),
-            lambda t: url_host(attr(t["a"], "href")),
-        ).alias("_hrefs"),
-    ).drop("_tags")
+            F.concat(F.array("_title_text"), F.col("_heads.text"), F.col("_scripts.type")), unescape_entities
+        ).alias("_texts"),
+    ).drop("_read", "_title_text")
+
+    def of(tag: str, *names: str) -> Column:
+        some = F.filter("_done", lambda t: (t["tag"] == tag) & (t["has"] if tag == "a" else F.lit(True)))
+        return F.transform(some, lambda t: F.struct(*[F.get(t["v"], k).alias(n) for k, n in enumerate(names)], t["has"].alias("has")))
+
+    stage3 = decoded.select(
+        *[c for c in decoded.columns if c not in ("_done", "_texts", "_heads", "_scripts")],
+        of("meta", "name", "property", "content").alias("_metas"),
+        of("link", "rel", "href").alias("_links"),
+        of("img", "src", "alt").alias("_imgs"),
+        F.transform(of("a", "_", "href"), lambda t: url_host(t["href"])).alias("_hrefs"),
+        php_trim(F.get("_texts", 0)).alias("_title"),
+        F.zip_with("_heads", F.slice("_texts", F.lit(2), n_heads), lambda h, t: F.struct(h["level"].alias("level"), php_trim(t).alias("text"))).alias("_heads"),
+        F.zip_with("_scripts", F.slice("_texts", n_heads + 2, F.size("_scripts")), lambda s, t: F.struct(t.alias("type"), s["text"].alias("text"))).alias("_scripts"),
+    )
 
     metas, heads, imgs = F.col("_metas"), F.col("_heads"), F.col("_imgs")
     page_host = url_host(F.col(url_col))
 
     def meta_named(v: str) -> Column:
-        return _first(metas, lambda m: (m["name"] == v) & m["has_content"], "content")
+        return _first(metas, lambda m: (m["name"] == v) & m["has"], "content")
 
     def level(lv: str) -> Column:
         return F.transform(F.filter(heads, lambda h: h["level"] == lv), lambda h: h["text"])
@@ -184,7 +206,7 @@ def with_page_features(crawl: DataFrame, url_col: str = "url", body_col: str = "
         ),
         lambda s: s["text"],
     )
-    canonical = _first(F.col("_links"), lambda ln: (ln["rel"] == "canonical") & ln["has_href"], "href")
+    canonical = _first(F.col("_links"), lambda ln: (ln["rel"] == "canonical") & ln["has"], "href")
     robots_meta = meta_named("robots")
     hrefs = F.col("_hrefs")
     external = F.size(F.filter(hrefs, lambda h: (h != "") & (h != page_host)))

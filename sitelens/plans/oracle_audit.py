@@ -29,16 +29,54 @@ def decode(x: str) -> str:
 
 
 def text_of(x: str) -> str:
-    return php_trim(decode(f"regexp_replace({x}, '<[^>]*>', '', 'g')"))
+    return php_trim(decode(f"regexp_replace({x}, '<[a-zA-Z/!?][^>]*(?:>|\\z)', '', 'g')"))
+
+
+# Tags here: an opener is matched as far as it goes; it is a tag if a bracket follows.
+REST = r"""(?:[^>=]|=\s*(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z)|[^\s>"'][^\s>]*)?)*"""
+
+
+def opener(names: str) -> str:
+    return rf"<(?:{names})(?:[\s/]{REST})?"
+
+
+def raw_element(name: str) -> str:
+    return rf"({opener(name)}(?:>|\z)).*?(</{name}\s*>|\z)"
+
+
+RAW = lit(rf"(?is)<!--.*?(?:-->|\z)|{raw_element('script')}|{raw_element('style')}")
+
+
+def masked(body: str) -> str:
+    return f"regexp_replace({body}, {RAW}, '\\1\\2\\3\\4', 'g')"
+
+
+def tags_of(x: str, names: str) -> str:
+    """List of (tag, a) of the closed tags ``names`` in ``x``."""
+    found = f"regexp_extract_all({x}, {lit(rf'(?i){opener(names)}(?:>|\z)')})"
+    parts = f"list_transform({found}, lambda t: {{'t': t, 'o': regexp_extract(t, {lit(rf'(?i){opener(names)}')}), 'n': length(regexp_extract(t, '^<([A-Za-z]+)', 1))}})"
+    whole = f"list_filter({parts}, lambda t: t.t <> t.o)"
+    return f"list_transform({whole}, lambda t: {{'tag': lower(substr(t.o, 2, t.n)), 'a': substr(t.o, 2 + t.n)}})"
+
+
+# whole attributes, one after the other; the first of a name counts
+ATTR_RE = lit(r"""(?s)[^\s"'=>/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
+ATTR_NAME = lit(r"""^[^\s"'=>/]+""")
+ATTR_VALUE = lit(r"""(?s)^[^\s"'=>/]+\s*=\s*(.*)$""")
+
+
+def _named(a: str, name: str) -> str:
+    return f"list_filter(regexp_extract_all({a}, {ATTR_RE}), lambda q: lower(regexp_extract(q, {ATTR_NAME})) = '{name}')"
 
 
 def attr(a: str, name: str) -> str:
-    pat = lit(rf"""(?is)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-    return decode(f"(regexp_extract({a}, {pat}, 1) || regexp_extract({a}, {pat}, 2) || regexp_extract({a}, {pat}, 3))")
+    value = f"[regexp_extract({_named(a, name)}[1], {ATTR_VALUE}, 1)]"
+    quotes = lit('"') + ", " + lit("'")
+    return decode(f"coalesce(list_transform({value}, lambda w: CASE WHEN w[1] IN ({quotes}) THEN substr(w, 2, length(w) - 2) ELSE w END)[1], '')")
 
 
 def has_attr(a: str, name: str) -> str:
-    return f"regexp_matches({a}, {lit(rf'(?is)(?:^|\s){name}(?:\s*=|\s|/|$)')})"
+    return f"(len({_named(a, name)}) > 0)"
 
 
 URL_RE = lit(
@@ -59,6 +97,15 @@ def s(x: str) -> str:
     return f"CAST({x} AS VARCHAR)"
 
 
+# Fixed values of the fixture recipe: awkward markup by p % 16.
+AWKWARD = {
+    3: "<a href=/x title=it's>q</a><img src=\"/apos.png\" alt=\"pic\"><p>don't</p>",
+    5: '<img alt="a > b" src=/gt.png><a-b href="/no">custom</a-b><img title="x alt=none"><img ALT=first alt=second>',
+    7: "<h3>open <i>one</i><h4>next</h4><p>1 < 2 and <b>3</b></p>",
+    11: '<script>var s = "<!--";</script><img src="/after.png" alt="x"><!-- <script> --><img src=/still.png>',
+    13: "<h5 class='a>b'>five</h5 ><style>p > a { } <img></style><img src='/s.png' alt=''>",
+    15: '<img src="/last.png" alt="last"><!-- never closed <img src="/no.png"> <h1>no</h1>',
+}
 LONG_CSP = "default-src 'self'; script-src 'self' https://cdn.example.com; style-src 'self' 'unsafe-inline'; img-src *"
 
 
@@ -91,6 +138,7 @@ ARTICLE = " || ".join([
     _if("p % 3 = 1", lit('<a href="https://ext.example.com/'), s("p"),
         lit('">x</a><a href="//cdn.example.com/a">c</a><a href="mailto:a@b.c">m</a><a href="">e</a><a name="n">none</a>')),
     _if("p % 3 = 2", lit('<a href="'), "u", lit('">self</a>')),
+    *[_if(f"p % 16 = {k}", lit(text)) for k, text in AWKWARD.items()],
 ])
 
 CRAWL_CTE = f"""
@@ -163,32 +211,32 @@ sitemap_site AS (
   ) WHERE rnk IS NOT NULL GROUP BY prefix
 )"""
 
-TAG_RE = lit(r"(?i)<(?:meta|link|img|a)\b[^>]*>")
-HEAD_RE = lit(r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>")
-SCRIPT_RE = lit(r"(?is)<script\b[^>]*>.*?</script\s*>")
 FALSY = "['{}', '[]', '0', '0.0', '-0', '\"\"', '\"0\"', 'false', 'null']"
 
+H0_OPEN = lit(rf"(?i)^<[a-z][a-z0-9:_.\-]*{REST}")
+H0_RE = lit(rf"(?i)<[a-z][a-z0-9:_.\-]*{REST}(?:>[^<]*|\z)")
+TITLE_RE = lit(rf"(?is){opener('title')}(?:>|\z)(.*?)(?:</title\s*>|\z)")
+TITLE_TEXT = text_of(f"regexp_extract(masked, {TITLE_RE}, 1)")
 FEATURES_CTE = f"""
-fa AS (
-  SELECT *, regexp_replace(body, '(?s)<!--.*?-->', '', 'g') AS nocomment FROM crawl
-),
 fb AS (
-  SELECT *, regexp_replace(regexp_replace(nocomment, '(?is)(<script\\b[^>]*>).*?</script\\s*>', '\\1</script>', 'g'),
-                           '(?is)(<style\\b[^>]*>).*?</style\\s*>', '\\1</style>', 'g') AS masked
-  FROM fa
+  SELECT *, {masked('body')} AS masked FROM crawl
 ),
 fc AS (
   SELECT p, u, status, body, h_content_type, h_content_encoding, h_cache_control, h_server, h_hsts, h_csp, h_xfo, h_xss,
          h_referrer, h_xcto, h_pp, load_ms, nav_ttfb_ms,
-         list_transform(regexp_extract_all(masked, {TAG_RE}),
-             lambda t: {{'tag': lower(regexp_extract(t, '^<([A-Za-z]+)', 1)), 'a': regexp_extract(t, '^<[A-Za-z]+([^>]*)>', 1)}}) AS tags,
-         list_transform(regexp_extract_all(masked, {HEAD_RE}),
-             lambda h: {{'level': lower(regexp_extract(h, '^<([hH][1-6])', 1)),
-                        'text': {text_of("regexp_extract(h, '(?is)^<h[1-6][^>]*>(.*)</h[1-6]\\s*>$', 1)")}}}) AS heads,
-         list_transform(regexp_extract_all(nocomment, {SCRIPT_RE}),
-             lambda x: {{'type': {attr("regexp_extract(x, '(?is)^<script([^>]*)>', 1)", 'type')},
-                        'text': regexp_extract(x, '(?is)^<script[^>]*>(.*)</script\\s*>$', 1)}}) AS scripts,
-         {text_of("regexp_extract(masked, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)")} AS title,
+         {tags_of('masked', 'meta|link|img|a')} AS tags,
+         list_transform(list_filter(list_transform(
+             list_filter(string_split(regexp_replace(masked, {lit(r'(?i)(<h[1-6][\s/>])')}, chr(1) || '\\1', 'g'), chr(1)),
+                         lambda h: regexp_matches(h, {lit(r'(?i)^<h[1-6][\s/>]')})),
+             lambda h: {{'h': h, 'o': regexp_extract(h, {lit(rf"(?i)^{opener('h[1-6]')}")})}}), lambda h: length(h.h) > length(h.o)),
+             lambda h: {{'level': lower(substr(h.h, 2, 2)),
+                        'text': {text_of("regexp_extract(substr(h.h, length(h.o) + 2), '(?is)^(.*?)(?:</h[1-6][ \\t\\r\\n]*>|\\z)', 1)")}}}) AS heads,
+         list_transform(list_transform(
+             list_filter(regexp_extract_all(body, {RAW}), lambda x: starts_with(lower(x), '<script')),
+             lambda x: {{'x': x, 'o': regexp_extract(x, {lit(rf"(?i)^{opener('script')}")})}}),
+             lambda x: {{'type': {attr("substr(x.o, 8)", 'type')},
+                        'text': regexp_replace(substr(x.x, length(x.o) + 2), '(?is)</script\\s*>\\z', '')}}) AS scripts,
+         {TITLE_TEXT} AS title,
          CAST(strlen(body) AS BIGINT) AS page_size_bytes,
          {host('u')} AS page_host
   FROM fb
@@ -326,19 +374,13 @@ FROM crawl"""
 SELECT robots_url, CAST(status AS BIGINT) AS status, CAST(strlen(content) AS BIGINT) AS content_bytes FROM robots"""
     q["s3_sitemap_scan"] = f"WITH {SITES_CTE} SELECT sitemap_url, CAST(status AS BIGINT) AS status FROM sitemaps"
     q["h0_elements"] = f"""WITH {CRAWL_CTE},
-m AS (
-  SELECT p, regexp_replace(regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'),
-           '(?is)(<script\\b[^>]*>).*?</script\\s*>', '\\1</script>', 'g'), '(?is)(<style\\b[^>]*>).*?</style\\s*>', '\\1</style>', 'g') AS masked
-  FROM crawl
-),
+m AS (SELECT p, {masked('body')} AS masked FROM crawl),
 t AS (
-  SELECT p, unnest(regexp_extract_all(masked, '(?is)<[a-z][a-z0-9]*[^>]*>[^<]*')) AS e,
-         generate_subscripts(regexp_extract_all(masked, '(?is)<[a-z][a-z0-9]*[^>]*>[^<]*'), 1) AS i
-  FROM m
-)
-SELECT p AS page_id, CAST(i - 1 AS BIGINT) AS pos, lower(regexp_extract(e, '^<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag,
-       regexp_extract(e, '^<[A-Za-z][A-Za-z0-9]*([^>]*)>', 1) AS attrs, regexp_extract(e, '(?s)^<[^>]*>(.*)$', 1) AS text
-FROM t"""
+  SELECT p, unnest(regexp_extract_all(masked, {H0_RE})) AS e, generate_subscripts(regexp_extract_all(masked, {H0_RE}), 1) AS i FROM m
+),
+o AS (SELECT *, regexp_extract(e, {H0_OPEN}) AS o, regexp_extract(e, '^<([A-Za-z][A-Za-z0-9:_.\\-]*)', 1) AS name FROM t)
+SELECT p AS page_id, CAST(i - 1 AS BIGINT) AS pos, lower(name) AS tag, substr(o, length(name) + 2) AS attrs, substr(e, length(o) + 2) AS text
+FROM o WHERE length(e) > length(o)"""
     q["h1_h5_head_fields"] = f"{FEAT_ONLY} SELECT p AS page_id, title, meta_description, canonical, robots_meta, viewport FROM feat"
     q["h6_headings"] = f"""{FEAT_ONLY},
 lv AS (SELECT unnest(['h1','h2','h3','h4','h5','h6']) AS level)

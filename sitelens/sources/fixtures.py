@@ -20,6 +20,15 @@ FETCHED_AT = "2024-01-30 12:00:00"
 # Fixed values of the fixture recipes (FIXTURES.md).
 LOAD_MS_BY_P13 = [None, 0, 500, 800, 801, 1500, 1501, 3000, 3001, 5000, 5001, 10000, 10001]
 TTFB_BY_P4 = [None, 0, 120, 350]
+# Awkward markup by p % 16.
+AWKWARD = {
+    3: "<a href=/x title=it's>q</a><img src=\"/apos.png\" alt=\"pic\"><p>don't</p>",
+    5: '<img alt="a > b" src=/gt.png><a-b href="/no">custom</a-b><img title="x alt=none"><img ALT=first alt=second>',
+    7: "<h3>open <i>one</i><h4>next</h4><p>1 < 2 and <b>3</b></p>",
+    11: '<script>var s = "<!--";</script><img src="/after.png" alt="x"><!-- <script> --><img src=/still.png>',
+    13: "<h5 class='a>b'>five</h5 ><style>p > a { } <img></style><img src='/s.png' alt=''>",
+    15: '<img src="/last.png" alt="last"><!-- never closed <img src="/no.png"> <h1>no</h1>',
+}
 LONG_CSP = (
     "default-src 'self'; script-src 'self' https://cdn.example.com; "
     "style-src 'self' 'unsafe-inline'; img-src *"
@@ -95,6 +104,7 @@ def crawl_from_pages(pages: DataFrame) -> DataFrame:
             '<a href="mailto:a@b.c">m</a><a href="">e</a><a name="n">none</a>',
         ),
         _if(p % 3 == 2, '<a href="', u, '">self</a>'),
+        *[_if(p % 16 == k, text) for k, text in AWKWARD.items()],
     )
     body = F.replace(body, F.lit("</head>"), F.concat(head, F.lit("</head>")))
     body = F.replace(body, F.lit("</article>"), F.concat(art, F.lit("</article>")))

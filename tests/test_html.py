@@ -18,6 +18,13 @@ PAGES = {
     "ld": '<script type="application/ld+json">{"a": 1}</script><script type="application/ld+json">{}</script><script>x</script>',
     "broken": '<img alt="open src=x><p>text < 3 <a href="',
     "empty": "",
+    "quote": "<a href=/x title=it's>q</a><img src=\"a.png\" alt=\"pic\"><p>don't</p><img alt = 'b > c' src==odd>",
+    "names": '<a-b href="/no">c</a-b><imgx src=x><img/src=/s.png/ alt><link rel=canonical href=https://s.test/c?a=1&amp;b=2>',
+    "open": "<h3>open <i>one</i><h4>next</h4> after <H5 id=x>five</h5 ><h6>to the end <b>bold</b>",
+    "raw": '<script>var s = "<!--";</script><img alt=seen><!-- <script> --><img alt=too><style>p > a {}<img></style><script>"</p><h1>"',
+    "comment": '<img alt=kept><!-- open <img alt=lost> <h1>lost</h1>',
+    "cut": '<img alt=kept><a href="/y">y</a><img alt="never closed> <h1>x</h1>',
+    "angle": "<title>1 < 2 & 3 <> 4</title><h1>a <b>b</b> < c</h1>",
 }
 
 
@@ -47,6 +54,40 @@ def test_headings_scripts_and_rubbish(seo):
     assert seo["broken"]["title"] == "" and seo["empty"]["total_images"] == 0
 
 
+def test_quotes_open_values_only_after_the_sign(seo):
+    assert [(i["src"], i["alt"]) for i in seo["quote"]["images"]] == [("a.png", "pic"), ("=odd", "b > c")]
+    assert seo["quote"]["internal_links"] == 1
+    assert [(i["src"], i["alt"]) for i in seo["names"]["images"]] == [("/s.png/", "")]
+    assert seo["names"]["internal_links"] == 0 and seo["names"]["canonical"] == "https://s.test/c?a=1&b=2"
+
+
+def test_what_is_not_closed(seo):
+    heads = seo["open"]["headings"]
+    assert (heads["h3"], heads["h4"], heads["h5"], heads["h6"]) == (["open one"], ["next"], ["five"], ["to the end bold"])
+    assert [i["alt"] for i in seo["raw"]["images"]] == ["seen", "too"] and seo["raw"]["headings"]["h1"] == []
+    assert [i["alt"] for i in seo["comment"]["images"]] == ["kept"] and seo["comment"]["headings"]["h1"] == []
+    assert [i["alt"] for i in seo["cut"]["images"]] == ["kept"] and seo["cut"]["internal_links"] == 1
+    assert seo["angle"]["title"] == "1 < 2 & 3 <> 4" and seo["angle"]["headings"]["h1"] == ["a b < c"]
+
+
+OPENERS = ["<!--", "<!-- a -", "<h1>", "<h1 ", "<script>", "<script ", "<style>", "<title>", "<title ", "<a ", '<a href="', "<img alt='", "<a b=", "< ", "</script", "&#", "<h1>x<h2 ", "= '"]
+
+
+@pytest.mark.parametrize("opener", OPENERS)
+def test_time_is_linear_in_what_is_left_open(spark, opener):
+    def seconds(size):
+        df = spark.createDataFrame([(1, "https://s.test/", opener * (size // len(opener)))], "page_id int, url string, body string")
+        t = time.perf_counter()
+        with_page_features(df).select("seo").collect()
+        extract_elements(df).count()
+        return time.perf_counter() - t
+
+    seconds(1000)
+    # four times the page: quadratic work would take sixteen times as long
+    small, large = seconds(150_000), seconds(600_000)
+    assert large < 6 * small + 2
+
+
 def test_elements_end_outside_quotes(spark):
     df = spark.createDataFrame([("p", '<p data-x="1>2">hi</p><br>')], "page_id string, body string")
     assert [(r["tag"], r["text"]) for r in extract_elements(df).orderBy("pos").collect()] == [("p", "hi"), ("br", "")]
@@ -73,7 +114,7 @@ def test_truncation_never_splits_a_character(spark):
 def test_no_page_scan_in_a_lambda(spark):
     df = with_page_features(spark.createDataFrame([(1, "u", "b")], "page_id int, url string, body string"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_extract_all(") == 3
+    assert plan.count("regexp_extract_all(") == 2 and plan.count("regexp_replace(body") == 1
     for at in [i for i in range(len(plan)) if plan.startswith("lambdafunction(", i)]:
         depth, j = 0, at
         while True:
