@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.config import Params
+from sitelens.config import Params, clamp_rate_limit
 from sitelens.operators import stats as st
 from sitelens.sources.fixtures import Tables
 
@@ -472,6 +472,7 @@ from sitelens.session import shared_path  # noqa: E402
 from sitelens.sources import captures  # noqa: E402
 from sitelens.sources import statistics as usage  # noqa: E402
 from sitelens.sources.statistics import outcomes_to_statistics  # noqa: E402
+from sitelens.streaming import admission as adm  # noqa: E402
 from sitelens.streaming import ratelimit as rl  # noqa: E402
 from sitelens.streaming import sinks  # noqa: E402
 
@@ -495,10 +496,46 @@ def w2(spark, sf_dir):
 @register("w3_w4_admission")
 def w34(spark, sf_dir):
     r = Tables(spark, sf_dir).requests()
-    keyed = rl.admission_keys(r, fr.client_ip(["cf_ip", "real_ip", "xff", "remote_addr"]), 10, 5)
+    keyed = rl.admission_keys(r, fr.client_ip(["cf_ip", "real_ip", "xff", "remote_addr"]), clamp_rate_limit(P.max_per_hour), P.ai_max_per_hour)
     return _rl_out(rl.rate_limit(keyed, F.col("rl_key"), F.col("ts"), "request_id", F.col("rl_limit")))
 
 
+def _outcome_out(df: DataFrame) -> DataFrame:
+    return df.select("request_id", "outcome", "status", "reason", "is_ai", "client_ip", "url", "count_in_window")
+
+
+def _settings() -> adm.Settings:
+    return adm.Settings.of({"max_analyses_per_hour": P.max_per_hour, "gemini_api_key": "configured"})
+
+
+@register("w4_admission")
+def w4(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return _outcome_out(adm.admit(t.admissions(), t.admission_dns(), _settings()))
+
+
+def _admission_job(spark, sf_dir) -> tuple[str, str]:
+    """Run the streaming job to its end; the folders of outcomes and usage."""
+    t = Tables(spark, sf_dir)
+    run = uuid.uuid4().hex[:8]
+    out, usage_path, ck = (shared_path(spark, "streams", f"admission-{run}", x) for x in ("outcomes", "usage", "checkpoint"))
+    stream = _as_file_stream(spark, t.admissions(), "admissions")
+    outcomes = adm.admit_stream(stream, t.admission_dns(), _settings())
+    adm.run_admission(outcomes, out, usage_path, t.admission_captures(), ck).awaitTermination()
+    return out, usage_path
+
+
+@register("w4_admission_stream")
+def w4s(spark, sf_dir):
+    return _outcome_out(adm.read_outcomes(spark, _admission_job(spark, sf_dir)[0]))
+
+
+@register("w4_s6_recorded_usage")
+def w4u(spark, sf_dir):
+    """Admission, outcome and record as one job: the usage rows of the accepted analyses."""
+    return _stats_out(usage.read_statistics(spark, _admission_job(spark, sf_dir)[1]))
+
+
 def _as_file_stream(spark, df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, "sources", f"{name}-{uuid.uuid4().hex[:8]}")
     df.write.parquet(path)
@@ -541,7 +578,10 @@ def w5(spark, sf_dir):
 @register("w6_stream_daily_counts")
 def w6(spark, sf_dir):
     stream = _as_file_stream(spark, Tables(spark, sf_dir).statistics(), "statistics")
-    return sinks.run_to_parquet(sinks.daily_counts_stream(stream), spark, "w6", mode="complete")
+    run = uuid.uuid4().hex[:8]
+    out, ck = shared_path(spark, "streams", f"w6-{run}", "out"), shared_path(spark, "streams", f"w6-{run}", "checkpoint")
+    sinks.write_daily_counts(sinks.daily_counts_stream(stream), out, ck).awaitTermination()
+    return sinks.read_daily_counts(spark, out)
 
 
 @register("s4_s5_statistics_table")

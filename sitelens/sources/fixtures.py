@@ -318,6 +318,37 @@ def requests_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def admissions_from_events(events: DataFrame) -> DataFrame:
+    """Submitted requests: two busy hours a day, one client with a third of them, URLs that
+    fail every rule, reviews by others than administrators and with unusable payloads."""
+    i, u = F.col("event_id"), F.col("user_id")
+    day, part = 86_400_000_000, 7_200_000_000
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    literal = F.get(F.array(*[F.lit(x) for x in FRONTIER_LITERALS]), (F.floor(i / 6) % len(FRONTIER_LITERALS)).cast("int"))
+    site = F.concat(F.lit("https://site"), (u % 20).cast("string"), F.lit(".example.com/p/"), (i % 100).cast("string"))
+    sent = F.when(i % 6 == 1, F.lit("")).when(i % 6 == 2, F.lit("0")).when(i % 6 == 3, F.lit('"text"')).when(i % 6 == 4, F.lit("{broken"))
+    return events.select(
+        i.alias("request_id"),
+        F.timestamp_micros(us - F.pmod(us, F.lit(day)) + F.pmod(us, F.lit(part))).alias("ts"),
+        F.when(i % 6 == 0, literal).otherwise(site).alias("raw_url"),
+        F.when(u % 3 == 0, F.lit("203.0.113.7")).when(u % 4 == 1, F.lit("bad")).otherwise(F.lit("")).alias("cf_ip"),
+        F.when(u % 4 == 1, F.concat(F.lit("203.0.113."), (u % 250).cast("string"))).otherwise(F.lit("")).alias("real_ip"),
+        F.when(u % 4 == 2, F.lit("198.51.100.7, 10.0.0.1")).otherwise(F.lit("")).alias("xff"),
+        F.concat(F.lit("192.0.2."), (u % 250).cast("string")).alias("remote_addr"),
+        (F.col("event_type") == "signup").alias("is_ai"),
+        (u % 7 != 0).alias("is_admin"),
+        sent.otherwise(F.lit('{"url":"x"}')).alias("payload"),
+        u.cast("bigint").alias("user_id"),
+    )
+
+
+def admission_captures(requests: DataFrame) -> DataFrame:
+    """``url, duration_ms, error`` by the URL's length ``L``: none where ``L%7=0``, a timeout where ``L%5=0``."""
+    n = F.length("url")
+    urls = requests.select(F.col("raw_url").alias("url")).filter(F.col("url").startswith("https://site")).distinct()
+    return urls.filter(n % 7 != 0).select("url", (n * 37 % 2000).cast("int").alias("duration_ms"), F.when(n % 5 == 0, F.lit("timeout")).alias("error"))
+
+
 def _review_text(p: Column, variant: int) -> Column:
     """Inner JSON text of a model answer (variants 0, 1, 2)."""
     s = p.cast("string")
@@ -421,5 +452,14 @@ class Tables:
     def requests(self) -> DataFrame:
         return requests_from_events(self.raw("events"))
 
+    def admissions(self) -> DataFrame:
+        return admissions_from_events(self.raw("events"))
+
+    def admission_dns(self) -> DataFrame:
+        return dns_from_frontier(self.admissions().select("request_id", "raw_url"))
+
+    def admission_captures(self) -> DataFrame:
+        return admission_captures(self.admissions())
+
     def ai_responses(self) -> DataFrame:
         return ai_responses_from_pages(self.raw("pages"))
