@@ -16,6 +16,7 @@ from sitelens.functions.ip import first_forwarded, is_ip, is_public_ip
 from sitelens.functions.text import php_empty, php_trim
 from sitelens.functions.url import url_host, url_path, url_port, url_scheme, url_userinfo
 from sitelens.operators.lookup import lookup_join, one_per_key
+from sitelens.storage import written
 
 # Error codes in rule order.
 E_EMPTY, E_INVALID, E_SCHEME = "wa_empty_url", "wa_invalid_url", "wa_invalid_scheme"
@@ -172,36 +173,66 @@ def redirect_edges(redirects: DataFrame, dns_facts: DataFrame) -> DataFrame:
     )
 
 
+def _then(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Follow ``first`` and, from where it has not ended, ``second``."""
+    nxt = second.select(
+        F.col("_hop").alias("_at"), F.col("_to").alias("_to2"), F.col("_err").alias("_err2"), F.col("_moved").alias("_moved2"), F.col("_done").alias("_done2")
+    )
+    # what has ended keeps a key of its own that no URL equals
+    at = F.when(F.col("_done"), F.concat(F.lit("\n"), F.col("_hop"))).otherwise(F.col("_to"))
+    j = first.withColumn("_at", at).join(nxt, "_at", "left")
+    on = F.col("_done2").isNotNull()
+    return j.select(
+        "_hop",
+        F.when(on, F.col("_to2")).otherwise(F.col("_to")).alias("_to"),
+        F.when(on, F.col("_err2")).otherwise(F.col("_err")).alias("_err"),
+        (F.col("_moved") + F.coalesce("_moved2", F.lit(0))).alias("_moved"),
+        F.coalesce("_done2", F.lit(True)).alias("_done"),  # a URL without a captured redirect is final
+    )
+
+
+def redirect_paths(edges: DataFrame) -> DataFrame:
+    """Where ``MAX_REQUESTS`` requests lead from every URL that redirects:
+    ``_hop, _to, _err, _moved``.
+
+    The edge table is composed with itself (1, 2, 4 hops, then the last ones), with
+    the number of moves carried, so only edges take part in these joins."""
+    one = edges.select(
+        "_hop", F.col("_next_url").alias("_to"), F.col("_next_error").alias("_err"), F.col("_moves").cast("int").alias("_moved"),
+        F.col("_next_error").isNotNull().alias("_done"),
+    )
+    power, reach, left = one, None, MAX_REQUESTS - 1
+    while left:
+        if left & 1:
+            reach = power if reach is None else _then(reach, power)
+        left >>= 1
+        if left:
+            power = _then(power, power)
+    # a further redirect is one too many
+    last = one.select("_hop", F.lit(None).cast("string").alias("_to"), F.lit(TOO_MANY_REDIRECTS).alias("_err"), "_moved", F.lit(True).alias("_done"))
+    return _then(reach, last).drop("_done")
+
+
 def resolve_redirects(
     starts: DataFrame, redirects: DataFrame, dns: DataFrame, url_col: str = "submitted_url", row_id: str = "request_id"
 ) -> DataFrame:
     """Follow captured redirects for at most six requests.
 
     Every URL is validated once: the submitted ones and the targets of the captured
-    hops (``redirect_edges``).  Six rounds then join narrow rows with the edges by
-    URL.  A row that is done keeps a key of its own that no URL equals, so finished
-    rows neither match nor gather on one key.  A 3xx without a Location, or on the
-    sixth request, fails with "Too many redirects."; a URL without a captured
-    redirect is final.
+    hops (``redirect_edges``, written once).  Chains are followed among the edges by
+    path doubling (``redirect_paths``); the submitted URLs look up where their chain
+    ends.  A 3xx without a Location, or on the sixth request, fails with "Too many
+    redirects."; a URL without a captured redirect is final.
     """
     dns_facts = dns_by_host(dns)
-    edges = redirect_edges(redirects, dns_facts)
+    edges = written(redirect_edges(redirects, dns_facts), "redirect-edges")
+    paths = redirect_paths(edges)
     first = _validated(starts.select(F.col(row_id), F.col(url_col).alias("submitted_url")), "submitted_url", dns_facts, [row_id])
-    cur = first.select(
-        row_id, "submitted_url", F.col("_url").alias("_cur"), F.lit(None).cast("string").alias("final_url"),
-        F.col("_err").alias("error"), F.lit(0).cast("bigint").alias("redirects"),
+    # a refused URL keeps a key of its own
+    asked = first.select(row_id, "submitted_url", F.col("_err").alias("_refused"), F.coalesce("_url", F.concat(F.lit("\n"), F.col(row_id).cast("string"))).alias("_hop"), "_url")
+    j = lookup_join(asked, paths, ["_hop"], [row_id])
+    error = F.coalesce("_refused", "_err")
+    return j.select(
+        row_id, "submitted_url", F.when(error.isNull(), F.coalesce("_to", "_url")).alias("final_url"), error.alias("error"),
+        F.coalesce("_moved", F.lit(0)).cast("bigint").alias("redirects"),
     )
-    done = F.col("final_url").isNotNull() | F.col("error").isNotNull()
-    own_key = F.concat(F.lit("\n"), F.col(row_id).cast("string"))  # no valid URL holds a line feed
-    for hop in range(MAX_REQUESTS):
-        last = hop == MAX_REQUESTS - 1
-        j = cur.withColumn("_hop", F.when(done, own_key).otherwise(F.col("_cur"))).join(edges, "_hop", "left")
-        hit, moves = F.col("_moves").isNotNull(), F.coalesce(F.col("_moves"), F.lit(False))
-        cur = j.select(
-            row_id, "submitted_url",
-            F.when(moves, F.col("_next_url")).otherwise(F.col("_cur")).alias("_cur"),
-            F.when(done, F.col("final_url")).when(~hit, F.col("_cur")).alias("final_url"),
-            F.when(done, F.col("error")).when(hit, F.lit(TOO_MANY_REDIRECTS) if last else F.col("_next_error")).alias("error"),
-            (F.col("redirects") + F.when(moves, 1).otherwise(0)).cast("bigint").alias("redirects"),
-        )
-    return cur.select(row_id, "submitted_url", "final_url", "error", "redirects")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.functions.json import pretty_json
 from sitelens.functions.text import js_round, php_empty
 from sitelens.operators.lookup import one_per_key
 
@@ -89,7 +90,7 @@ def review_payload(reports: DataFrame, id_col: str = "page_id", images: int = PA
 def review_requests(reports: DataFrame, id_col: str = "page_id") -> DataFrame:
     """A2: one request row per report: prompt text and generation settings."""
     p = review_payload(reports, id_col)
-    prompt = F.concat(F.lit(PROMPT_HEAD), F.to_json("payload", {"pretty": "true"}), F.lit(PROMPT_TAIL))
+    prompt = F.concat(F.lit(PROMPT_HEAD), pretty_json(F.col("payload"), p.schema["payload"].dataType), F.lit(PROMPT_TAIL))
     return p.select(id_col, "url", prompt.alias("prompt"), F.lit(GENERATION_CONFIG).alias("generation_config"))
 
 

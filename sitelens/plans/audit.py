@@ -9,16 +9,18 @@ broadcast by AQE when its measured size allows).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions.url import site_base
 from sitelens.operators import http as H
 from sitelens.operators.extract import with_page_features
-from sitelens.operators.lookup import lookup_join
+from sitelens.operators.frontier import resolve_redirects
+from sitelens.operators.lookup import lookup_join, one_per_key
 from sitelens.operators.scores import with_scores
 from sitelens.sources.captures import normalize_crawl, normalize_robots
 
+FETCH_FAILED = "fetch failed"  # error of a final URL whose capture failed or is missing
 REPORT_FIELDS = [
     "url", "timestamp", "http", "headers", "seo", "security", "robots", "sitemap", "html_meta",
     "performance", "mobile", "accessibility", "technical",
@@ -64,3 +66,36 @@ def assemble_reports(crawl: DataFrame, robots: DataFrame, sitemaps: DataFrame, r
 def page_scorecard(crawl: DataFrame, robots: DataFrame, sitemaps: DataFrame) -> DataFrame:
     """C8 (flagship): reports with the ``scores`` struct."""
     return with_scores(assemble_reports(crawl, robots, sitemaps))
+
+
+def redirected_scorecard(
+    starts: DataFrame, redirects: DataFrame, dns: DataFrame, crawl: DataFrame, robots: DataFrame, sitemaps: DataFrame, row_id: str = "request_id"
+) -> tuple[DataFrame, DataFrame]:
+    """P7 on D2: submitted URLs to the scorecards of the pages that they lead to, and
+    the outcome of every request (S6).
+
+    ``starts``: ``request_id, submitted_url``.  Each captured page is analysed once
+    and its body dropped before anything is shuffled; the requests then look up the
+    report of their ``final_url``.  The scorecards have ``submitted_url``, ``final_url``
+    and ``redirects`` besides the report.  The outcomes (``request_id, submitted_url,
+    duration_ms, success, error, user_id, created_at``) hold failed chains and failed
+    or missing captures as failures.
+    """
+    resolved = resolve_redirects(starts, redirects, dns, row_id=row_id)
+    reports = page_scorecard(crawl, robots, sitemaps).drop("page_id").withColumnRenamed("url", "final_url")
+    latest = Window.partitionBy("final_url").orderBy(F.desc("timestamp"))
+    reports = reports.withColumn("_nr", F.row_number().over(latest)).filter("_nr = 1").drop("_nr", "duration_ms", "user_id")
+    cards = lookup_join(resolved.filter("error IS NULL").drop("error"), reports, ["final_url"], [row_id], "inner")
+
+    failed = F.col("error").isNotNull() if "error" in crawl.columns else F.lit(False)
+    fetched = one_per_key(
+        crawl.select(F.col("url").alias("final_url"), "fetched_at", "duration_ms", failed.alias("failed"), "user_id"), ["final_url"]
+    )
+    j = lookup_join(resolved.withColumn("_key", F.coalesce("final_url", F.concat(F.lit("\n"), F.col(row_id).cast("string")))),
+                    fetched.withColumnRenamed("final_url", "_key"), ["_key"], [row_id])
+    error = F.coalesce("error", F.when(F.coalesce("failed", F.lit(True)), F.lit(FETCH_FAILED)))
+    outcomes = j.select(
+        row_id, "submitted_url", F.coalesce("duration_ms", F.lit(0)).alias("duration_ms"), error.isNull().alias("success"), error.alias("error"),
+        F.col("user_id"), F.col("fetched_at").alias("created_at"),
+    )
+    return cards, outcomes

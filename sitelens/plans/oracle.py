@@ -124,4 +124,14 @@ def oracle_sql() -> dict[str, str]:
     from sitelens.plans.oracle_stream import stream_sql
 
     out.update(stream_sql())
+    out["s4_t1_stored_week"], out["s4_t5_stored_daily_week"] = out["t1_period_week"], out["t5_daily_week"]
+    d2, c8 = out["d2_resolve_redirects"], out["c8_page_scorecard"]
+    out["p7_redirected_scorecard"] = f"""SELECT r.request_id, r.submitted_url, r.final_url, r.redirects,
+  CAST(CASE WHEN s.page_id % 10 = 9 THEN 404 WHEN s.page_id % 10 = 8 THEN 204 ELSE 200 END AS BIGINT) AS status_code,
+  s.overall, s.seo, s.security, s.performance, s.mobile, s.technical, s.accessibility
+FROM ({d2}) r JOIN ({c8}) s ON s.url = r.final_url WHERE r.error IS NULL AND s.page_id % 23 <> 22"""
+    out["p7_s6_outcomes"] = f"""SELECT r.request_id, r.submitted_url, CAST(coalesce(p.page_id * 37 % 2000, 0) AS BIGINT) AS duration_ms,
+  r.error IS NULL AND p.page_id IS NOT NULL AND p.page_id % 23 <> 22 AS success,
+  CASE WHEN r.error IS NOT NULL THEN r.error WHEN p.page_id IS NULL OR p.page_id % 23 = 22 THEN 'fetch failed' END AS error
+FROM ({d2}) r LEFT JOIN pages p ON p.url = r.final_url"""
     return out

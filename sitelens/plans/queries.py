@@ -344,7 +344,7 @@ def r12(spark, sf_dir):
 
 @register("s9_report_json")
 def s9(spark, sf_dir):
-    return exports.report_json(_scored(spark, sf_dir).drop("timestamp"))
+    return exports.report_json(_scored(spark, sf_dir).drop("timestamp"), pretty=True)
 
 
 @register("s10_scores_csv")
@@ -388,6 +388,25 @@ def d2(spark, sf_dir):
     return fr.resolve_redirects(t.redirect_start(), t.redirects(), t.dns())
 
 
+def _redirected(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    t = Tables(spark, sf_dir)
+    return audit.redirected_scorecard(t.redirect_start(), t.redirects(), t.dns(), t.fetches(), t.robots(), t.sitemaps())
+
+
+@register("p7_redirected_scorecard")
+def p7(spark, sf_dir):
+    cards = _redirected(spark, sf_dir)[0]
+    kinds = ("overall", "seo", "security", "performance", "mobile", "technical", "accessibility")
+    return cards.select("request_id", "submitted_url", "final_url", "redirects", "http.status_code", *[F.col(f"scores.{k}").alias(k) for k in kinds])
+
+
+@register("p7_s6_outcomes")
+def p7o(spark, sf_dir):
+    return _redirected(spark, sf_dir)[1].select(
+        "request_id", "submitted_url", F.col("duration_ms").cast("bigint").alias("duration_ms"), "success", "error"
+    )
+
+
 # ------------------------------------------------------------- model review batch
 from sitelens.operators import review as rv  # noqa: E402
 
@@ -593,6 +612,25 @@ def s45(spark, sf_dir):
     return _stats_out(usage.read_statistics(spark, path))
 
 
+def _stored_usage(spark, sf_dir) -> DataFrame:
+    """The usage table as stored: partitioned by date, so periods prune."""
+    path = shared_path(spark, "tables", f"usage-{uuid.uuid4().hex[:8]}")
+    usage.append_statistics(Tables(spark, sf_dir).statistics(), path)
+    return usage.read_statistics(spark, path)
+
+
+@register("s4_t1_stored_week")
+def s4t1(spark, sf_dir):
+    return st.filter_period(_stored_usage(spark, sf_dir), "week", P.as_of).select(
+        "id", "domain", F.col("duration_ms").cast("bigint").alias("duration_ms"), "success", "user_id", ts_str().alias("created_at")
+    )
+
+
+@register("s4_t5_stored_daily_week")
+def s4t5(spark, sf_dir):
+    return _day(st.daily_counts(_stored_usage(spark, sf_dir), "week", P.as_of))
+
+
 @register("s11_review_scan")
 def s11(spark, sf_dir):
     path = shared_path(spark, "sources", f"answers-{uuid.uuid4().hex[:8]}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.functions.json import pretty_json
+
 # CSV rows in the reference's order (label, score field).
 CSV_ROWS = [
     ("Overall", "overall"),
@@ -18,14 +20,17 @@ CSV_ROWS = [
 
 
 def report_json(reports: DataFrame, id_col: str = "page_id", pretty: bool = False) -> DataFrame:
-    """One JSON document per report (``pretty`` gives an indented form)."""
-    body = F.struct(*[c for c in reports.columns if c != id_col])
-    opts = {"pretty": "true"} if pretty else {}
-    return reports.select(id_col, F.to_json(body, opts).alias("json"))
+    """One JSON document per report; ``pretty`` gives the reference's download form."""
+    cols = [c for c in reports.columns if c != id_col]
+    if not pretty:
+        return reports.select(id_col, F.to_json(F.struct(*cols)).alias("json"))
+    packed = reports.select(id_col, F.struct(*cols).alias("report"))
+    return packed.select(id_col, pretty_json(F.col("report"), packed.schema["report"].dataType, php=False).alias("json"))
 
 
-def write_reports_json(reports: DataFrame, path: str) -> None:
-    reports.write.mode("overwrite").json(path)
+def write_reports_json(reports: DataFrame, path: str, id_col: str = "page_id") -> None:
+    """S9 as files: a document a report, one below the other."""
+    report_json(reports, id_col, pretty=True).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
 
 
 def _quote(c):

@@ -86,7 +86,7 @@ def test_state_on_the_clock_has_the_windows_time_to_live(spark, tmp_path):
 def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     t = Tables(spark, SF_SMALL)
     out, usage = str(tmp_path / "out"), str(tmp_path / "usage")
-    outcomes = adm.admit(t.admissions(), t.admission_dns())
+    outcomes = adm.admit(t.admissions(), t.admission_dns(), adm.Settings(1, 1, True))
     write = adm.admission_writer(out, usage, t.admission_captures())
     some, rest = outcomes.filter("request_id % 2 = 0"), outcomes.filter("request_id % 2 = 1")
     write(some, 0)
