@@ -2,7 +2,7 @@
 
 Robots and sitemap work is per site (``scheme://host``), not per page: the
 capture tables are reduced to one row per site first, then looked up by the
-pages with a salted join (``lookup.lookup_join``).
+pages with a skew-safe join (``lookup.lookup_join``).
 """
 
 from __future__ import annotations

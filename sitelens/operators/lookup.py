@@ -2,13 +2,13 @@
 
 Many fact rows (pages, frontier URLs) look up one row per key (a site, a host,
 a URL).  A single key may hold a large share of the facts (one site with a
-third of all pages), so the join is salted: each fact row gets a
-deterministic salt from its own identity, and the lookup side is replicated
-once per salt value.  A hot key is then spread over ``buckets`` reduce tasks
-instead of one.  With AQE on, Spark still converts the join into a broadcast
-hash join at run time when the materialised lookup side is below
-``spark.sql.adaptive.autoBroadcastJoinThreshold``: a measured size, not an
-estimate, so nothing is broadcast without a bound.
+third of all pages).  In a batch the join is left to adaptive execution, which
+measures every partition once it is written: a partition far above the others is
+split over several tasks, each with the one lookup row it needs, so a hot key is
+spread and cold keys are replicated nowhere; and where the lookup side turns out
+small, it is broadcast, by a measured size.  A stream has no such measurement:
+there each fact row gets a deterministic salt from its own identity and the lookup
+side is replicated once per salt value.
 """
 
 from __future__ import annotations
@@ -43,11 +43,11 @@ def lookup_join(
 ) -> DataFrame:
     """``facts ⟕ lookup`` on ``on``; ``lookup`` has at most one row per key.
 
-    ``row_id`` columns identify a fact row; the salt is a hash of them, so a
-    re-executed task puts every row in the same bucket (deterministic retries).
+    ``row_id`` columns identify a fact row; on a stream the salt is a hash of them, so
+    a re-executed task puts every row in the same bucket (deterministic retries).
     """
     on = list(on)
-    if buckets <= 1:
+    if buckets <= 1 or not facts.isStreaming:
         return facts.join(lookup, on, how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), F.lit(buckets)).cast("int")
     f = facts.withColumn(_SALT, salt)

@@ -2,8 +2,8 @@
 
 Plan shape (see ``explain``): the crawl scan and every feature expression run
 in one narrow stage per input split; the body column is dropped inside that
-stage, so the only shuffle carries small per-page feature rows into a salted
-lookup join with the per-site robots/sitemap table (itself a small aggregate,
+stage, so the only shuffle carries small per-page feature rows into a
+skew-safe lookup join with the per-site robots/sitemap table (itself a small aggregate,
 broadcast by AQE when its measured size allows).
 """
 

@@ -9,6 +9,7 @@ from sitelens.config import Params
 from sitelens.functions.json import pretty_json
 from sitelens.operators import review as rv
 from sitelens.operators import stats as st
+from sitelens.operators.lookup import lookup_join
 from sitelens.plans import audit
 from sitelens.plans.queries import QUERIES
 from sitelens.session import shared_path
@@ -130,3 +131,28 @@ def test_periods_prune_the_stored_table(spark):
         part = plan[plan.index("PartitionFilters: ["):]
         assert "created_date" in part[: part.index("]")]
     assert QUERIES["s4_t1_stored_week"](spark, SF_SMALL).count() == QUERIES["t1_period_week"](spark, SF_SMALL).count()
+
+
+def test_a_hot_key_is_split_where_it_is_measured(spark):
+    """Half of the facts have one key: its partition is split, and nothing is replicated beforehand."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        key = F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 997)
+        facts = spark.range(0, 200_000, 1, 8).select("id", key.alias("host"), F.md5(F.col("id").cast("string")).alias("pad"))
+        sites = spark.range(997).select(F.col("id").alias("host"), (F.col("id") * 2).alias("site"))
+        out = lookup_join(facts, sites, ["host"], ["id"])
+        assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+        placed = out.withColumn("p", F.spark_partition_id())
+        tasks = placed.groupBy("p").agg(F.count_if(F.col("host") == 0).alias("hot"), F.max("pad")).filter("hot > 0").collect()
+        assert len(tasks) >= 4 and max(t["hot"] for t in tasks) < 50_000
+        assert out.filter("site = host * 2").count() == 200_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
