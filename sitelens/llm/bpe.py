@@ -34,6 +34,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.llm.common import held, lean
+
 CACHE_PIECES = 200_000
 CACHE_WORDS = 400_000
 CACHE_PAIRS = 1_000_000
@@ -244,7 +246,7 @@ class BytePairCoder:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-_CODERS: dict[tuple[str, str], BytePairCoder] = {}
+_CODERS: dict[tuple[str, str], BytePairCoder] = held("bpe")
 
 
 def coder(path: str, pattern: str) -> BytePairCoder:
@@ -260,6 +262,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def bpe_encode(s: pd.Series) -> pd.Series:
+        lean("bpe")
         c = coder(path, pattern)
         return pd.Series([np.asarray(c.encode(t) if t else [], dtype=np.int32) for t in s])
 

@@ -7,8 +7,11 @@ to the shared folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +66,34 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(cand.lower())
         out.append(cand)
     return out
+
+
+# Tables that operators keep in a Python worker between its tasks, by operator.
+_HELD: dict[str, dict] = {}
+_last_task: list = [None]
+
+
+def held(owner: str) -> dict:
+    """A place for what the tasks of ``owner`` keep in their worker."""
+    return _HELD.setdefault(owner, {})
+
+
+def lean(owner: str) -> None:
+    """Where a task of ``owner`` begins: what other operators keep in this worker goes, and
+    memory that earlier tasks have freed is given back to the system.
+
+    Spark reuses Python workers, so without this each stage adds to the ones before."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    if task is None or task.taskAttemptId() == _last_task[0]:
+        return
+    _last_task[0] = task.taskAttemptId()
+    for other, tables in _HELD.items():
+        if other != owner:
+            tables.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)

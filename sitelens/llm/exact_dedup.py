@@ -227,13 +227,13 @@ def drop_repeats(docs: DataFrame, history: DataFrame | None = None) -> DataFrame
     The decisions are made on narrow rows; texts move once, to meet them.
     """
     kept = materialize(exact_groups(docs, history).filter("kept").select("digest", "doc_id", "n_chars", "ties").distinct(), "kept")
-    d, n, i, t = fresh(docs, "digest", "n_chars", "doc", "ties")
+    d, n, i, t, stays = fresh(docs, "digest", "n_chars", "doc", "ties", "keep")
     text = text_or_empty()
     tagged = docs.withColumns(
         {d: F.unhex(F.sha2(normal_text(text).cast("binary"), 256)), n: F.length(text).cast("bigint"), i: F.col("doc_id").cast("bigint")}
     )
-    keys = kept.select(F.col("digest").alias(d), F.col("n_chars").alias(n), F.col("doc_id").alias("__keep"), F.col("ties").alias(t))
-    out = tagged.join(keys, [d, n]).filter(F.col(i).eqNullSafe(F.col("__keep"))).drop("__keep")
+    keys = kept.select(F.col("digest").alias(d), F.col("n_chars").alias(n), F.col("doc_id").alias(stays), F.col("ties").alias(t))
+    out = tagged.join(keys, [d, n]).filter(F.col(i).eqNullSafe(F.col(stays))).drop(stays)
     if not kept.filter("ties > 1").isEmpty():  # rows repeated with their id: one of each stays
         out = out.filter(F.col(t) == 1).unionByName(out.filter(F.col(t) > 1).dropDuplicates([d]))
     return out.select(docs.columns)

@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.llm.common import held, lean
+
 CACHE_WORDS = 200_000
 CACHE_CORES = 300_000
 CACHED_BYTES = 64  # longer words are encoded but not remembered
@@ -122,7 +124,7 @@ class WordCoder:
         return b"".join(out)
 
 
-_CODERS: dict[str, WordCoder] = {}
+_CODERS: dict[str, WordCoder] = held("packing")
 
 
 def word_coder(path: str) -> WordCoder:
@@ -139,6 +141,7 @@ def pieces(text: Column, path: str, capacity: int, end_id: int) -> Column:
 
     @F.pandas_udf(T.ArrayType(T._parse_datatype_string(PIECE)))
     def cut(s: pd.Series) -> pd.Series:
+        lean("packing")
         coder, end = word_coder(path), np.asarray([end_id], dtype="<u4").tobytes()
         out = []
         for text in s:

@@ -10,7 +10,7 @@ from sitelens.llm.common import table
 
 
 def fold(n: int):
-    return F.crc32(F.col("doc_id").cast("string")) % n
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n  # a null id hashes as the empty string
 
 
 @register("op7_toxicity")

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.llm.common import materialize
+from sitelens.llm.common import lean, materialize
 from sitelens.llm.shingles import mix
 from sitelens.llm.suffix_array import suffix_order
 
@@ -187,6 +187,7 @@ def _chunker(text: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        lean("suffix")
         chunk, held, size = TaskContext.get().partitionId() << 24, [], 0
         for b in batches:
             held.append(b)
@@ -244,6 +245,7 @@ def _spans(found: list[tuple]) -> pa.Table:
 
 def _emit_runs(text: str, doc_id: str, parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean("suffix")
         if not left.num_rows or not right.num_rows:
             return _blocks([])
         chunk = left.column("chunk")[0].as_py()
@@ -418,6 +420,7 @@ def _sorted_repeats(cut: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _sort_bucket(table: pa.Table) -> pa.Table:
+    lean("suffix")
     out, texts, cols = [], [], []
     for b in table.to_pylist():
         rows, starts, sizes = np.frombuffer(b["rows"], np.int32), np.frombuffer(b["starts"], np.int64), np.frombuffer(b["sizes"], np.int64)

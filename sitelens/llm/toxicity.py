@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import fresh, text_or_empty
+from sitelens.llm.common import fresh, lean, text_or_empty
 
 MAX_ROWS = 30_000
 MAX_FEATURES = 4_000
@@ -85,13 +85,15 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column | None, max_rows: int) -> DataFrame:
-    """``text, y`` of at most ``max_rows`` labelled documents."""
+    """``text, y`` of at most ``max_rows`` labelled documents, one row an id."""
     wanted = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     if allowed is not None:
         wanted = wanted.filter(allowed)
     ids = wanted.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # at most max_rows rows of two numbers, so this broadcast has a fixed bound
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y")
+    # at most max_rows rows of two numbers, so this broadcast has a fixed bound; a row an
+    # id, the one of smallest text, so rows that repeat an id don't pass the bound
+    named = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")
+    return named.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def _present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,6 +199,7 @@ def scorer(model: Model):
 
     @F.pandas_udf("double")
     def toxic_score(text: pd.Series) -> pd.Series:
+        lean("toxicity")
         logits = []
         for t in text:
             hits = {}

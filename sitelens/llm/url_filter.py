@@ -116,7 +116,7 @@ def judge_urls(
     bloom = bloom_filter(listed, blocks)
 
     # a verdict depends only on the host and as much path as the longest rule has
-    (head,) = fresh(rows, "head")
+    head, ruling = fresh(rows, "head", "verdict")
     rows = rows.withColumn(head, F.substring("path", 1, max(lens)))
     labels = F.split("host", r"\.", -1)
     candidates = (
@@ -137,8 +137,8 @@ def judge_urls(
     best = exact.groupBy("host", "head").agg(
         F.max(F.struct(F.length("key").alias("n"), F.length("part").alias("h"), F.col("key"), F.col("verdict"))).alias("best")
     )
-    found = best.select("host", F.col("head").alias(head), F.col("best.key").alias("rule"), F.col("best.verdict").alias("__verdict"))
+    found = best.select("host", F.col("head").alias(head), F.col("best.key").alias("rule"), F.col("best.verdict").alias(ruling))
     out = rows.join(found, ["host", head], "left")
     return out.select(
-        *[F.col(c) for c in base.columns], "host", "path", "rule", F.coalesce("__verdict", F.lit(default)).alias("verdict")
+        *[F.col(c) for c in base.columns], "host", "path", "rule", F.coalesce(ruling, F.lit(default)).alias("verdict")
     )
