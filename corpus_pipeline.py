@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import toxicity
-from sitelens.llm.common import materialize, session, table
+from sitelens.llm.common import fresh, materialize, session, table
 from sitelens.llm.dart_minhash import drop_near_copies
 from sitelens.llm.exact_dedup import drop_repeats
 from sitelens.llm.q_pack import pack_documents
@@ -21,7 +21,8 @@ from sitelens.llm.suffix_dedup import cut_repeats
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the classifier, fitted on all labels, scores below 0.5."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    kept = docs.withColumn("__toxic", toxicity.scorer(model)(toxicity.text_or_empty())).filter("__toxic < 0.5")
+    (score,) = fresh(docs, "toxic")
+    kept = docs.withColumn(score, toxicity.scorer(model)(toxicity.text_or_empty())).filter(F.col(score) < 0.5)
     return kept.select(docs.columns)
 
 
