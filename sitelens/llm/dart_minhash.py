@@ -47,7 +47,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import materialize, text_or_empty
+from sitelens.llm.common import lean, materialize, text_or_empty
 from sitelens.llm.shingles import counted, mix, shingles
 
 BANDS, ROWS = 25, 5
@@ -115,6 +115,7 @@ def signatures(n: int, text: np.ndarray, h: np.ndarray, weight: np.ndarray, k: i
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    lean("minhash")
     for pdf in batches:
         text, h = shingles(list(pdf["text"]))
         text, h, times = counted(text, h)
@@ -138,6 +139,7 @@ def _agree(a: str, b: str) -> Column:
 
 def _similar(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean("minhash")
         for pdf in batches:
             n = len(pdf)
             both, h = shingles([*pdf["text_a"], *pdf["text_b"]])
@@ -233,7 +235,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     ids = materialize(rows.select("doc_id", "node"), "ids")
     nodes = bands.select("node").distinct()
-    sigs = materialize(sketches.select("node", "sig").join(nodes, "node"), "sigs")
+    sigs = materialize(sketches.join(nodes, "node"), "sigs")
     wanted = nodes.join(ids, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = materialize(
         rows.join(wanted.withColumnRenamed("doc_id", "rep"), [rows["node"] == wanted["node"], rows["doc_id"].eqNullSafe(F.col("rep"))], "left_semi")
@@ -259,10 +261,13 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     left = left.withColumn("root", F.coalesce("root", "node") if labels is not None else F.col("node"))
     mixed = left.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
     rest = materialize(left.join(mixed, "band").select("band", "node", "root").join(sigs, "node"), "rest")
-    one = rest.select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("sig").alias("sig_a"))
-    two = rest.select(F.col("band").alias("band_b"), F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("sig").alias("sig_b"))
+    one, two = (
+        rest.select(F.col("band").alias(f"band_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "sig", "bands")], F.col("node").alias(x)) for x in "ab"
+    )
     worth = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (_agree("sig_a", "sig_b") >= least)
-    cross = one.join(two, (F.col("band") == F.col("band_b")) & worth).select("a", "b").distinct()
+    # a pair counts in the first band that it shares, so each comes out once
+    first = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band_a")
+    cross = one.join(two, (F.col("band_a") == F.col("band_b")) & worth & first).select("a", "b")
     both = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(verified(cross.join(both, ["a", "b"], "left_anti"), texts, threshold), "edges")
     if not more.isEmpty():
@@ -282,10 +287,10 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
     groups = near_groups(docs, threshold)
     stay = materialize(groups.filter("kept").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")), "stay")
-    (node,) = fresh(docs, "node")
-    keys = stay.select(F.col("doc_id").alias("__id"), F.col("node").alias(node), F.col("n").alias("__n"))
+    node, key, times = fresh(docs, "node", "key", "times")
+    keys = stay.select(F.col("doc_id").alias(key), F.col("node").alias(node), F.col("n").alias(times))
     tagged = docs.withColumn(node, F.unhex(F.md5(text_or_empty().cast("binary"))))
-    out = tagged.join(keys, (F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))) & (tagged[node] == keys[node])).drop(keys[node])
+    out = tagged.join(keys, (F.col("doc_id").cast("bigint").eqNullSafe(F.col(key))) & (tagged[node] == keys[node])).drop(keys[node])
     if not stay.filter("n > 1").isEmpty():  # rows that are repeated
-        out = out.filter("__n = 1").unionByName(out.filter("__n > 1").dropDuplicates([node]))
+        out = out.filter(F.col(times) == 1).unionByName(out.filter(F.col(times) > 1).dropDuplicates([node]))
     return out.select(docs.columns)
