@@ -125,23 +125,28 @@ def successors(ev: DataFrame, slices: DataFrame, window_us: int, refresh: bool)
 
 def chained(ev: DataFrame, slices: DataFrame, firsts: DataFrame, windows: int, window_us: int, refresh: bool) -> DataFrame:
     """``k, slice, opening, opened`` of bursts of up to ``windows`` windows, whose first
-    events have the numbers ``firsts`` (``k, s``), by doubled pointers."""
+    events have the numbers ``firsts`` (``k, s``), by doubled pointers.
+
+    ``jumps`` has a row an event but packs into files so small that it would be broadcast:
+    its joins are merges, which spill, and each round's openings are written, so that no
+    task holds the tables of all rounds."""
     jumps = written(successors(ev, slices, window_us, refresh), "jumps")
     found = firsts
     rounds = max(1, math.ceil(math.log(windows + 1, FAN)))
     for r in range(rounds):
         reach, steps = found, [F.col("s")]
         for i in range(1, FAN):
-            hop = jumps.select("k", F.col("a").alias(f"at{i}"), F.col("b").alias(f"s{i}"))
+            hop = jumps.select("k", F.col("a").alias(f"at{i}"), F.col("b").alias(f"s{i}")).hint("merge")
             reach = reach.withColumn(f"at{i}", steps[-1]).join(hop, ["k", f"at{i}"], "left")
             steps.append(F.col(f"s{i}"))
-        found = reach.select("k", F.explode(F.array_compact(F.array(*steps))).alias("s"))
+        found = written(reach.select("k", F.explode(F.array_compact(F.array(*steps))).alias("s")), "openings")
         if r < rounds - 1:
             far = jumps
             for _ in range(FAN - 1):
-                far = far.select("k", "a", F.col("b").alias("m")).join(jumps.select("k", F.col("a").alias("m"), "b"), ["k", "m"]).select("k", "a", "b")
+                hop = jumps.select("k", F.col("a").alias("m"), "b").hint("merge")
+                far = far.select("k", "a", F.col("b").alias("m")).join(hop, ["k", "m"]).select("k", "a", "b")
             jumps = written(far, "jumps")
-    at = ev.select("k", F.col("idx").alias("s"), "slice", "t").join(found, ["k", "s"])
+    at = ev.select("k", F.col("idx").alias("s"), "slice", "t").hint("merge").join(found, ["k", "s"])
     return at.select("k", "slice", F.col("s").alias("opening"), F.col("t").alias("opened"))
 
 

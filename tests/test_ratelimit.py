@@ -84,6 +84,20 @@ def test_no_python_and_no_window_over_the_events_of_a_key(spark, monkeypatch):
     assert slices.groupBy("k", "slice").count().filter("count > 1").count() == 0
 
 
+@pytest.mark.parametrize("refresh", [False, True])
+def test_no_stage_holds_the_pointers_of_all_rounds(spark, refresh):
+    df = spark.createDataFrame(traffic(2), SCHEMA).filter("key = 'steady' AND us IS NOT NULL")
+    e = df.select("id", F.col("us").alias("t"), "lim", F.col("key").alias("k")).withColumn("slice", windows.slice_of(F.col("t"), HOUR))
+    slices = windows.slices_of(e, HOUR)
+    ev = windows.numbered(e, slices).join(slices.select("k", "slice", "burst_last"), ["k", "slice"])
+    firsts = slices.filter("before + 1 = burst_first").select("k", F.col("burst_first").alias("s"))
+    out = windows.chained(windows.written(ev, "ev"), slices, firsts, 70, HOUR, refresh)
+    assert out.count() > 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # openings are read back, so one join is left, and the events are not broadcast for it
+    assert "Generate" not in plan and plan.count("SortMergeJoin") == 1 and "Broadcast" not in plan
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert rl.rate_limit(df, F.col("key"), F.timestamp_micros("us"), "id", 3).count() == 0
