@@ -33,6 +33,9 @@ AUTHORITY_OK_RE = r"^(?:[^@/?#\s]*@)?(?:\[[0-9A-Fa-f:.]+\]|[A-Za-z0-9._~%!$&'()*
 AUTHORITY_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
 
 
+_TRIMMED = "_trimmed_url"
+
+
 def normalize_url(raw: Column) -> Column:
     """PHP-trim, then ``https://`` unless the scheme is http(s)."""
     t = php_trim(raw)
@@ -64,13 +67,15 @@ def syntax_error(url: Column, trimmed: Column) -> Column:
 
 def normalize_frontier(frontier: DataFrame, raw_col: str = "raw_url") -> DataFrame:
     """Adds ``url`` (normalized), ``host`` (lower-case, no trailing dots) and the syntax error."""
-    raw = F.coalesce(F.col(raw_col), F.lit(""))
-    url = normalize_url(raw)
-    return frontier.select(
-        "*",
-        url.alias("url"),
-        F.lower(F.rtrim(url_host(url), F.lit("."))).alias("host"),
-        syntax_error(url, php_trim(raw)).alias("syntax_error"),
+    # the URL is a column before its parts are taken: each rule names it, and it would
+    # be normalized again in each
+    trimmed = php_trim(F.coalesce(F.col(raw_col), F.lit("")))
+    known = frontier.select("*", normalize_url(F.coalesce(F.col(raw_col), F.lit(""))).alias("url"), trimmed.alias(_TRIMMED))
+    return known.select(
+        *[known[c] for c in frontier.columns],
+        "url",
+        F.lower(F.rtrim(url_host("url"), F.lit("."))).alias("host"),
+        syntax_error(F.col("url"), F.col(_TRIMMED)).alias("syntax_error"),
     )
 
 

@@ -491,6 +491,7 @@ from sitelens.session import shared_path  # noqa: E402
 from sitelens.sources import captures  # noqa: E402
 from sitelens.sources import statistics as usage  # noqa: E402
 from sitelens.sources.statistics import outcomes_to_statistics  # noqa: E402
+from sitelens.storage import written  # noqa: E402
 from sitelens.streaming import admission as adm  # noqa: E402
 from sitelens.streaming import ratelimit as rl  # noqa: E402
 from sitelens.streaming import sinks  # noqa: E402
@@ -539,8 +540,10 @@ def _admission_job(spark, sf_dir) -> tuple[str, str]:
     run = uuid.uuid4().hex[:8]
     out, usage_path, ck = (shared_path(spark, "streams", f"admission-{run}", x) for x in ("outcomes", "usage", "checkpoint"))
     stream = _as_file_stream(spark, t.admissions(), "admissions")
-    outcomes = adm.admit_stream(stream, t.admission_dns(), _settings())
-    adm.run_admission(outcomes, out, usage_path, t.admission_captures(), ck).awaitTermination()
+    # every branch and batch reads the lookup tables: derived once
+    dns, known = written(t.admission_dns(), "dns"), written(t.admission_captures(), "captures")
+    outcomes = adm.admit_stream(stream, dns, _settings())
+    adm.run_admission(outcomes, out, usage_path, known, ck).awaitTermination()
     return out, usage_path
 
 

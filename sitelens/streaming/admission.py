@@ -93,11 +93,17 @@ def _refused(gated: DataFrame) -> DataFrame:
 
 def _counted(limited: DataFrame) -> DataFrame:
     fails = F.col("review_error").isNotNull()
+    # rows that a gate has refused may stand among them, uncounted
+    refused, status, reason = F.lit(False), F.lit(None), F.lit(None)
+    if "gate_status" in limited.columns:
+        refused, status, reason = F.col("gate_status").isNotNull(), F.col("gate_status").cast("bigint"), F.col("gate_reason")
     return limited.select(
         F.col("id").alias("request_id"),
-        F.when(~F.col("accepted"), F.lit("limited")).when(fails, F.lit("rejected")).otherwise(F.lit("accepted")).alias("outcome"),
-        F.when(~F.col("accepted"), 429).when(fails, 400).otherwise(200).cast("bigint").alias("status"),
-        F.when(~F.col("accepted"), F.when(F.col("is_ai"), F.lit(AI_LIMITED)).otherwise(F.lit(LIMITED))).otherwise(F.col("review_error")).alias("reason"),
+        F.when(refused, F.lit("rejected")).when(~F.col("accepted"), F.lit("limited")).when(fails, F.lit("rejected"))
+        .otherwise(F.lit("accepted")).alias("outcome"),
+        F.when(refused, status).when(~F.col("accepted"), 429).when(fails, 400).otherwise(200).cast("bigint").alias("status"),
+        F.when(refused, reason).when(~F.col("accepted"), F.when(F.col("is_ai"), F.lit(AI_LIMITED)).otherwise(F.lit(LIMITED)))
+        .otherwise(F.col("review_error")).alias("reason"),
         "is_ai", "client_ip", "url", "count_in_window", "user_id", "ts",
     )
 
@@ -114,13 +120,17 @@ def admit(requests: DataFrame, dns: DataFrame, settings: Settings = Settings())
 
 
 def admit_stream(requests: DataFrame, dns: DataFrame, settings: Settings = Settings(), watermark: str = "2 hours") -> DataFrame:
-    """W4 on a stream of requests; ``dns`` is a static table."""
-    gated = gates(requests, dns, settings)
-    passed = gated.filter("gate_status IS NULL")
+    """W4 on a stream of requests; ``dns`` is a static table.
+
+    Refused requests go with the uncounted ones, so the gates run for two branches, not
+    three; they have no time to count at and so do not move the watermark."""
+    gated = gates(requests, dns, settings).withColumns(
+        {"gate_status": F.col("gate_status").cast("string"), "counted_at": F.when(F.col("gate_status").isNull(), F.col("ts"))}
+    )
     limited = stream_rate_limit(
-        passed, F.col("rl_key"), "ts", "request_id", F.col("rl_limit"), watermark=watermark, carry=CARRY
+        gated, F.col("rl_key"), "counted_at", "request_id", F.col("rl_limit"), watermark=watermark, carry=[*CARRY, "gate_status", "gate_reason"]
     )
-    return _counted(limited).unionByName(_refused(gated))
+    return _counted(limited)
 
 
 def usage_of(outcomes: DataFrame, captures: DataFrame) -> DataFrame:

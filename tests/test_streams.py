@@ -141,3 +141,23 @@ def test_daily_counts_keep_open_days_only(spark, tmp_path):
     again = [(r["date"], r["count"]) for r in files.filter(F.col("batch") == last).collect()]
     sinks.batch_writer(out)(spark.createDataFrame(again, "date string, count bigint"), last)
     assert {r["date"]: r["count"] for r in sinks.read_daily_counts(spark, out).collect()} == got
+
+
+def test_refused_requests_take_one_branch_and_no_part_in_the_watermark(spark, tmp_path):
+    t = Tables(spark, SF_SMALL)
+    src, out, usage, ck = (str(tmp_path / x) for x in ("in", "out", "usage", "ck"))
+    requests = t.admissions()
+    # a refused request from the far future leaves the others' windows alone
+    far = requests.limit(1).withColumns({"request_id": F.lit(-1).cast("bigint"), "ts": F.lit(datetime(2050, 1, 1)), "raw_url": F.lit(""), "is_ai": F.lit(False)})
+    both = requests.unionByName(far)
+    both.write.parquet(src)
+    stream = adm.admit_stream(spark.readStream.schema(both.schema).parquet(src), t.admission_dns(), adm.Settings(2, 1, True))
+    q = adm.run_admission(stream, out, usage, t.admission_captures(), ck)
+    q.awaitTermination()
+    first = [p for p in q.recentProgress if p["numInputRows"]][0]
+    # the stream is scanned by the counted and by the uncounted branch
+    assert first["numInputRows"] == 2 * both.count()
+    assert first["eventTime"].get("max", "").startswith("2024")
+    batch = adm.admit(both, t.admission_dns(), adm.Settings(2, 1, True))
+    cols = ["request_id", "outcome", "status", "reason", "is_ai", "client_ip", "url", "count_in_window", "user_id", "ts"]
+    assert sorted(map(str, adm.read_outcomes(spark, out).select(cols).collect())) == sorted(map(str, batch.select(cols).collect()))
