@@ -25,6 +25,10 @@ nodes are all connected are finished.  When a round connects nothing more, what
 left are nodes of different components in one bucket; those pairs, and only
 those, are checked one by one.  So every candidate pair either is in one group
 already or has been checked, and a large group is never expanded into its pairs.
+Many texts that are somewhat alike, but not enough, would still be fetched pair by
+pair here; so a pair must first pass a bound that loses nothing: with the shingles
+of each text counted in ``CELLS`` cells by their hash, the sum of the smaller counts
+is at least the texts' common weight.
 Before texts are fetched, a pair's signatures must agree on a share of coordinates
 no less than the threshold minus ``SLACK`` (5.6 standard deviations); a pair at the
 threshold that shares a band fails this with probability below 1e-6.
@@ -56,6 +60,8 @@ THRESHOLD = 0.8
 #: A candidate is checked on its text if the share of agreeing coordinates, whose
 #: standard deviation is 0.036 at 0.8, lies at most this far below the threshold.
 SLACK = 0.2
+#: Cells that a text's shingles are counted in.
+CELLS = 512
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -137,6 +143,31 @@ def _agree(a: str, b: str) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
+def _in_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    lean("minhash")
+    for pdf in batches:
+        n = len(pdf)
+        text, h = shingles(list(pdf["text"]))
+        cell = text * CELLS + (h % np.uint64(CELLS)).astype(np.int64)
+        counts = np.bincount(cell, minlength=n * CELLS).reshape(n, CELLS)
+        # where a count does not fit, the text has no cells and no bound
+        fits = counts.max(axis=1, initial=0) <= np.iinfo(np.int16).max
+        cells = [row if ok else None for row, ok in zip(counts.astype(np.int16), fits, strict=True)]
+        yield pd.DataFrame({"node": pdf["node"], "mass": np.bincount(text, minlength=n), "cells": cells})
+
+
+def in_cells(texts: DataFrame) -> DataFrame:
+    """``node, mass, cells``: how many shingles a text has, in all and by cell."""
+    return texts.select("node", "text").mapInPandas(_in_cells, "node binary, mass bigint, cells array<smallint>")
+
+
+def _may_reach(threshold: float) -> Column:
+    """False only if the similarity of texts ``a`` and ``b`` is below the threshold."""
+    common = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda x, y: x + y)
+    enough = common * (1 + threshold) + 1e-6 >= (F.col("mass_a") + F.col("mass_b")) * threshold
+    return F.coalesce(enough, F.lit(True))
+
+
 def _similar(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lean("minhash")
@@ -260,14 +291,16 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     left = bands if labels is None else bands.join(labels, "node", "left")
     left = left.withColumn("root", F.coalesce("root", "node") if labels is not None else F.col("node"))
     mixed = left.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    rest = materialize(left.join(mixed, "band").select("band", "node", "root").join(sigs, "node"), "rest")
-    one, two = (
-        rest.select(F.col("band").alias(f"band_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "sig", "bands")], F.col("node").alias(x)) for x in "ab"
-    )
-    worth = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (_agree("sig_a", "sig_b") >= least)
+    rest = materialize(left.join(mixed, "band").select("band", "node", "root"), "rest")
+    cells = materialize(in_cells(texts.join(rest.select("node").distinct(), "node")), "cells")
+    rest = materialize(rest.join(sigs, "node").join(cells, "node"), "rest")
+    parts = ("root", "sig", "bands", "mass", "cells")
+    one, two = (rest.select(F.col("band").alias(f"band_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in parts], F.col("node").alias(x)) for x in "ab")
+    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
     # a pair counts in the first band that it shares, so each comes out once
     first = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band_a")
-    cross = one.join(two, (F.col("band_a") == F.col("band_b")) & worth & first).select("a", "b")
+    worth = (_agree("sig_a", "sig_b") >= least) & _may_reach(threshold)
+    cross = one.join(two, (F.col("band_a") == F.col("band_b")) & apart & first & worth).select("a", "b")
     both = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(verified(cross.join(both, ["a", "b"], "left_anti"), texts, threshold), "edges")
     if not more.isEmpty():

@@ -126,3 +126,39 @@ def test_components_in_steps_equal_components_at_once(spark):
     second = spark.createDataFrame(rows[1::2], df.schema)
     steps = {bytes(r["node"]): bytes(r["root"]) for r in dm.components(second, dm.components(first)).collect()}
     assert steps == whole
+
+
+def loosely_alike(n):
+    """Texts of one original with so many edits each that two are about 0.66 alike."""
+    rng = random.Random(21)
+    base = sentence(rng, 150).split(" ")
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for place in rng.sample(range(5, 145, 5), 3):
+            w[place] = "own%dx%d" % (i, place)
+        rows.append((i, " ".join(w), "en", "s", 1, "n", "d", "b", 1, "s"))
+    return rows
+
+
+def test_pairs_below_the_threshold_do_not_fetch_their_texts(spark, monkeypatch):
+    rows = loosely_alike(40)
+    rows += [(100 + i, r[1] + " end%d" % i, *r[2:]) for i, r in enumerate(rows[:5])]
+    fetched, plain = [], dm.verified
+    monkeypatch.setattr(dm, "verified", lambda pairs, *a: (fetched.append(pairs.count()), plain(pairs, *a))[1])
+    got = {}
+    for r in dm.near_groups(frame(spark, rows)).collect():
+        got.setdefault(r["class_id"], set()).add(repr((r["doc_id"], rows[r["doc_id"] % 100 + 40 * (r["doc_id"] >= 100)][1])))
+    assert {frozenset(g) for g in got.values()} == classes(rows) and len(got) > 30
+    assert fetched[-1] < 3 * len(rows)  # 45 * 44 / 2 pairs are alike, but not enough
+
+
+def test_cells_bound_the_similarity_from_above(spark):
+    rows = [r[1] or "" for r in awkward()] + [r[1] for r in loosely_alike(6)] + ["again and " * 70000, "again and " * 70001]
+    texts = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(rows)], "node binary, text string")
+    cells = dm.in_cells(texts)
+    assert [bytes(r["node"])[0] for r in cells.filter("cells is null").collect()] == [len(rows) - 2, len(rows) - 1]
+    one, two = (cells.select(*[dm.F.col(c).alias(f"{c}_{x}") for c in ("mass", "cells")], dm.F.col("node").alias(x)) for x in "ab")
+    for threshold in (0.5, 0.8, 1.0):
+        passed = {(bytes(r["a"])[0], bytes(r["b"])[0]) for r in one.crossJoin(two).filter(dm._may_reach(threshold)).select("a", "b").collect()}
+        assert {(i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if alike(x, y) >= threshold} <= passed
