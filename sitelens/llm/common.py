@@ -68,6 +68,26 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+class Recent:
+    """A bounded memo of two generations: what was used lately stays."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value):
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 # Tables that operators keep in a Python worker between its tasks, by operator.
 _HELD: dict[str, dict] = {}
 _last_task: list = [None]

@@ -24,22 +24,25 @@ each; an empty table gives no sequences.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from bisect import bisect_right
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.llm.common import held, lean
+from sitelens.llm.batch_words import bounds, remembered, word_ids
+from sitelens.llm.common import Recent, held, lean
 
-CACHE_WORDS = 200_000
-CACHE_CORES = 300_000
-CACHED_BYTES = 64  # longer words are encoded but not remembered
+CACHE_WORDS = 100_000
+CACHE_CORES = 400_000
+CACHED_CHARS = 64  # longer words are encoded but not remembered
 
 # ------------------------------------------------------------ tokens
 
@@ -52,22 +55,16 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-#: A word of letters that no normaliser recomposes, then plain punctuation.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,;:!?]*)").fullmatch
-
-
-MARKS = b".,;:!?"
-
-
 class WordCoder:
     """Ids of whole texts by a ``tokenizers`` file, looked up word by word.
 
     Normaliser and split pattern of a word-end vocabulary work inside runs of
-    visible characters, so a text may be cut at ASCII white space.  Every distinct
-    word is encoded by the library and remembered as packed little-endian ids; of
-    plain words with punctuation the two parts, which the split pattern separates,
-    go to the library's model directly.  Special tokens spelt out in a text get their
-    own ids, as in the library's plain call; they hold no white space.  Two generations of ``CACHE_WORDS`` words and
+    visible characters, so a text may be cut at ASCII white space.  Of plain words
+    with punctuation the two parts, which the split pattern separates, go to the
+    library's model directly; every other distinct word is encoded by the library.
+    A batch looks up each distinct part once, and the ids are remembered packed.
+    Special tokens spelt out in a text get their own ids, as in the library's plain
+    call; they hold no white space.  Two generations of ``CACHE_WORDS`` words and
     ``CACHE_CORES`` parts are kept: some 200 MB at most in a worker.
     """
 
@@ -77,51 +74,41 @@ class WordCoder:
         self.lib = Tokenizer.from_file(path)
         self.model = self.lib.model
         self.letters = "".join(v for _, v in sorted(_byte_letters().items()))
-        self.words: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
-        self.cores: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.words = Recent(CACHE_WORDS)
+        self.cores = Recent(CACHE_CORES)
+
+    def _core(self, part: str) -> bytes:
+        """Ids of one part of a plain word: lower-cased letters, or punctuation."""
+        got = self.cores.get(part)
+        if got is None:
+            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            found = self.model.tokenize(mapped) if part else ()
+            got = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            if len(part) <= CACHED_CHARS:
+                self.cores.put(part, got)
+        return got
 
-    def _core(self, part: bytes) -> bytes:
-        """Ids of one part of a word: lower-cased letters, or punctuation."""
-        young, old = self.cores
-        got = young.get(part)
+    def _word(self, word: str) -> bytes:
+        """Ids of any word."""
+        got = self.words.get(word)
         if got is None:
-            got = old.get(part)
-            if got is None:
-                mapped = part.decode("latin-1")
-                found = self.model.tokenize(mapped if part.isascii() else mapped.translate(self.letters))
-                got = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-            if len(young) >= CACHE_CORES:
-                self.cores = ({}, young)
-                young = self.cores[0]
-            young[part] = got
+            ids = self.lib.encode(word, add_special_tokens=False).ids if word else ()
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(word) <= CACHED_CHARS:
+                self.words.put(word, got)
         return got
 
-    def _word(self, raw: bytes) -> bytes:
-        if raw.isalpha():  # ASCII letters
-            return self._core(raw.lower())
-        if raw[-1] in MARKS and raw[:-1].isalpha():
-            return self._core(raw[:-1].lower()) + self._core(raw[-1:])
-        word = raw.decode("utf-8")
-        if m := PLAIN(word):
-            core, marks = m.groups()
-            return (self._core(core.lower().encode()) if core else b"") + (self._core(marks.encode()) if marks else b"")
-        ids = self.lib.encode(word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def pack_all(self, texts: list[str | None]) -> list[bytes]:
+        """The packed ids of every text."""
+        split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.string()))
+        parts = partial(remembered, self.cores, make=self._core)
+        ids, n = word_ids(split.flatten(), parts, parts, partial(remembered, self.words, make=self._word), lower=True)
+        ends = bounds(n)[bounds(split.value_lengths().to_numpy())]
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
     def pack(self, text: str | None) -> bytes:
         """The packed ids of a text."""
-        young, old = self.words
-        if len(young) >= CACHE_WORDS:
-            self.words = young, old = {}, young
-        words = (text or "").encode("utf-8", "replace").split()
-        out = list(map(young.get, words))
-        for at in [i for i, ids in enumerate(out) if ids is None]:
-            w = words[at]
-            got = young.get(w) or old.get(w) or self._word(w)
-            if len(w) <= CACHED_BYTES:
-                young[w] = got
-            out[at] = got
-        return b"".join(out)
+        return self.pack_all([(text or "").encode("utf-8", "replace").decode()])[0]
 
 
 _CODERS: dict[str, WordCoder] = held("packing")
@@ -144,8 +131,8 @@ def pieces(text: Column, path: str, capacity: int, end_id: int) -> Column:
         lean("packing")
         coder, end = word_coder(path), np.asarray([end_id], dtype="<u4").tobytes()
         out = []
-        for text in s:
-            raw = coder.pack(text) + end
+        for raw in coder.pack_all(s.tolist()):
+            raw += end
             step = 4 * capacity
             out.append(
                 [

@@ -78,3 +78,24 @@ def check(rows, docs):
 def test_documents(spark):
     check(pack_documents(frame(spark)).collect(), awkward())
     assert pack_documents(frame(spark, [])).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\t　\x1c\x85aeiÉßñ的́'7<|>!\"#$%&()*+,-./:;=?@[\\]^_`{}~"), max_size=60), max_size=6))
+def test_a_batch_has_the_ids_of_its_texts(texts):
+    want = [np.asarray(PLAIN_LIB.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert pk.word_coder(PATH).pack_all(texts) == want
+
+
+def test_a_batch_asks_the_library_once_for_each_distinct_part():
+    c, asked = pk.WordCoder(PATH), []
+    model = c.model
+
+    class Counting:
+        def tokenize(self, part):
+            asked.append(part)
+            return model.tokenize(part)
+
+    c.model = Counting()
+    c.pack_all([None, "Anhe thonre, THONRE. anhe$$$ anhe! " * 50, "anhe"])
+    assert sorted(asked) == sorted(["anhe", "thonre", ",", ".", "$$$", "!"])
