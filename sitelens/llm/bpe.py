@@ -26,18 +26,23 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.llm.common import held, lean
+from sitelens.llm.batch_words import bounds, remembered, word_ids
+from sitelens.llm.common import Recent, held, lean
 
-CACHE_PIECES = 200_000
-CACHE_WORDS = 400_000
+CACHE_PIECES = 400_000
+CACHE_WORDS = 200_000
 CACHE_PAIRS = 1_000_000
 CACHED_BYTES = 256  # longer pieces are encoded but not remembered
 
@@ -59,26 +64,6 @@ def odd_blank(text: str) -> bool:
     return ("\t" in text or RARE_SPACE(text) is not None) and ODD_BLANK(text) is not None
 
 
-class Recent:
-    """A bounded memo of two generations: what was used lately stays."""
-
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def get(self, key):
-        got = self.young.get(key)
-        if got is None:
-            got = self.old.get(key)
-            if got is not None:
-                self.put(key, got)
-        return got
-
-    def put(self, key, value):
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-
 class BytePairCoder:
     """Encoder and decoder for one rank file and split pattern."""
 
@@ -95,6 +80,8 @@ class BytePairCoder:
         self.parts: dict[int, tuple[int, int]] = {}
         reachable = self._derive_merges()
         top = max(self.token) + 1
+        self.bytes_of = np.full(top, None, dtype=object)
+        self.bytes_of[list(self.token)] = list(self.token.values())
         self.sizes = [len(self.token.get(r, b"")) for r in range(top)]
         self.shorter = [self._longest_proper_prefix(self.token[r], reachable) if r in reachable else -1 for r in range(top)]
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
@@ -168,7 +155,15 @@ class BytePairCoder:
             return (whole,)
         latin, sizes, compat = piece.decode("latin-1"), self.sizes, self._compat
         greedy = [r for _, r in self.trie.iter_long(latin)]
-        if all(map(compat.get, zip(greedy, greedy[1:]))):
+        for pair in zip(greedy, greedy[1:]):
+            apart = compat.get(pair)
+            if apart is None:
+                if len(compat) >= CACHE_PAIRS:
+                    compat.clear()
+                apart = compat[pair] = self._undo(*pair)
+            if not apart:
+                break
+        else:
             return tuple(greedy)  # longest matches that all stay apart need no way back
         n = len(piece)
         longest = [0] * n
@@ -206,44 +201,61 @@ class BytePairCoder:
                     break
         return tuple(out)
 
-    def _pieces(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for p in self.find(text):
-            got = self.pieces.get(p)
-            if got is None:
-                raw = p.encode("utf-8", "replace")
-                got = self.encode_piece(raw)
-                if len(raw) <= CACHED_BYTES:
-                    self.pieces.put(p, got)
-            ids += got
-        return ids
+    def _piece(self, piece: str) -> bytes:
+        """Packed ids of one match of the split pattern."""
+        got = self.pieces.get(piece)
+        if got is None:
+            raw = piece.encode("utf-8", "replace")
+            ids = self.encode_piece(raw) if raw else ()
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(raw) <= CACHED_BYTES:
+                self.pieces.put(piece, got)
+        return got
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text.
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self._piece, self.find(text)))
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return remembered(self.pieces, pieces, self._piece)
+
+    def _blank_word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            got = self._pieces(" " + word)
+            if len(word) <= CACHED_BYTES:
+                self.words.put(word, got)
+        return got
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts.
 
         A single blank between two visible characters always starts a match, so
         a text may be cut in front of each.  Texts whose blanks all stand so are
-        looked up word by word; others go through the split pattern as a whole.
+        looked up word by word, where letters and the punctuation behind them are
+        two matches; others go through the split pattern as a whole.
         """
-        if odd_blank(text):
-            return self._pieces(text)
-        first, *rest = text.split(" ")
-        ids = self._pieces(first)
-        young = self.words.young
-        for w in rest:
-            got = young.get(w)
-            if got is None:
-                got = self.words.old.get(w)
-                if got is None:
-                    got = tuple(self._pieces(" " + w))
-                if len(w) <= CACHED_BYTES:
-                    self.words.put(w, got)
-                    young = self.words.young
-            ids += got
-        return ids
+        odd = [odd_blank(t) for t in texts]
+        split = pc.split_pattern(pa.array([t for t, o in zip(texts, odd, strict=True) if not o], pa.string()), " ")
+        starts = bounds(split.value_lengths().to_numpy())
+        words = split.flatten()
+        follows = np.ones(len(words), dtype=bool)
+        follows[starts[:-1]] = False  # a text's first word has no blank
+        ids, n = word_ids(
+            words.filter(pa.array(follows)),
+            lambda cores: self._each([" " + c for c in cores]), self._each, partial(remembered, self.words, make=self._blank_word),
+        )
+        ends = bounds(n)[starts - np.arange(len(starts))]
+        firsts = words.filter(pa.array(~follows)).to_pylist()
+        regular = (self._pieces(w) + ids[a:b].tobytes() for w, a, b in zip(firsts, ends, ends[1:]))
+        packed = [self._pieces(t) if o else next(regular) for t, o in zip(texts, odd, strict=True)]
+        return [np.frombuffer(p, dtype="<i4") for p in packed]
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of one whole text."""
+        return self.encode_all([text.encode("utf-8", "replace").decode()])[0].tolist()
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+        return b"".join(self.bytes_of[np.asarray(ids, dtype=np.int64)].tolist())
 
 
 _CODERS: dict[tuple[str, str], BytePairCoder] = held("bpe")
@@ -264,7 +276,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def bpe_encode(s: pd.Series) -> pd.Series:
         lean("bpe")
         c = coder(path, pattern)
-        return pd.Series([np.asarray(c.encode(t) if t else [], dtype=np.int32) for t in s])
+        return pd.Series(c.encode_all([t or "" for t in s]))
 
     return bpe_encode(text)
 
@@ -275,6 +287,6 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @F.pandas_udf(T.BinaryType())
     def bpe_decode(s: pd.Series) -> pd.Series:
         c = coder(path, pattern)
-        return pd.Series([b"" if x is None else c.decode(x.tolist()) for x in s], dtype=object)
+        return pd.Series([b"" if x is None else c.decode(x) for x in s], dtype=object)
 
     return bpe_decode(ids)

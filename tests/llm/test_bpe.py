@@ -42,3 +42,18 @@ def test_columns(spark, lib):
     for r in rows:
         assert list(r["ids"]) == lib.encode_ordinary(r["text"] or "") and bytes(r["raw"]) == (r["text"] or "").encode()
     assert df.limit(0).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\t　aeiÉßñ的'7<|>!\"#$%&()*+,-./:;=?@[\\]^_`{}~"), max_size=60), max_size=6))
+def test_a_batch_has_the_ids_of_its_texts(lib, texts):
+    got = bpe.coder(PATH, P.PATTERN).encode_all(texts)
+    assert [x.tolist() for x in got] == [lib.encode_ordinary(t) for t in texts]
+
+
+def test_a_batch_encodes_each_distinct_piece_once():
+    c = bpe.BytePairCoder(bpe.read_ranks(PATH), P.PATTERN)
+    asked, plain = [], c.encode_piece
+    c.encode_piece = lambda raw: (asked.append(raw), plain(raw))[1]
+    c.encode_all(["start " + "anhe thonre, thonre. anhe$$$ anhe! " * 50 + "end"] * 3)
+    assert len(asked) == len(set(asked)) == 8
