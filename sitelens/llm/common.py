@@ -87,6 +87,23 @@ class Recent:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
+    def get_all(self, keys: list) -> list:
+        """What is held for each key, or None."""
+        out = list(map(self.young.get, keys))
+        if self.old:
+            back, again = self.old.get, {}
+            for i, got in enumerate(out):
+                if got is None and (got := back(keys[i])) is not None:
+                    out[i] = again[keys[i]] = got
+            self.put_all(again)
+        return out
+
+    def put_all(self, items):
+        """Note pairs of key and value; a generation may end with as many too many."""
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young.update(items)
+
 
 # Tables that operators keep in a Python worker between its tasks, by operator.
 _HELD: dict[str, dict] = {}

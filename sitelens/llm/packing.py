@@ -24,9 +24,9 @@ each; an empty table gives no sequences.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -37,12 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.llm.batch_words import bounds, remembered, word_ids
+from sitelens.llm.batch_words import bounds, packed, remembered, together, word_ids
 from sitelens.llm.common import Recent, held, lean
 
 CACHE_WORDS = 100_000
 CACHE_CORES = 400_000
 CACHED_CHARS = 64  # longer words are encoded but not remembered
+BATCH_BYTES = 4 << 20  # about as much text is encoded together
 
 # ------------------------------------------------------------ tokens
 
@@ -77,34 +78,35 @@ class WordCoder:
         self.words = Recent(CACHE_WORDS)
         self.cores = Recent(CACHE_CORES)
 
-    def _core(self, part: str) -> bytes:
-        """Ids of one part of a plain word: lower-cased letters, or punctuation."""
-        got = self.cores.get(part)
-        if got is None:
-            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            found = self.model.tokenize(mapped) if part else ()
-            got = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-            if len(part) <= CACHED_CHARS:
-                self.cores.put(part, got)
-        return got
-
-    def _word(self, word: str) -> bytes:
-        """Ids of any word."""
-        got = self.words.get(word)
-        if got is None:
-            ids = self.lib.encode(word, add_special_tokens=False).ids if word else ()
-            got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(word) <= CACHED_CHARS:
-                self.words.put(word, got)
-        return got
+    def _cores(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts of plain words: lower-cased letters, or punctuation."""
+        tokenize, letters = self.model.tokenize, self.letters
+        ids, sizes = [], []
+        for part in parts:
+            if not part.isascii():
+                part = part.encode().decode("latin-1").translate(letters)
+            found = tokenize(part) if part else ()
+            ids += [t.id for t in found]
+            sizes.append(len(found))
+        return packed(ids, sizes)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of any words."""
+        found = [self.lib.encode(w, add_special_tokens=False).ids if w else () for w in words]
+        return packed([i for ids in found for i in ids], list(map(len, found)))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids one behind the other, and where each text's begin, with the end."""
+        split = pc.ascii_split_whitespace(texts)
+        parts = partial(remembered, self.cores, make=self._cores, longest=CACHED_CHARS)
+        words = partial(remembered, self.words, make=self._words, longest=CACHED_CHARS)
+        ids, at = word_ids(split.flatten(), parts, parts, words, lower=True)
+        return ids, at[bounds(split.value_lengths().to_numpy())]
 
     def pack_all(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of every text."""
-        split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.string()))
-        parts = partial(remembered, self.cores, make=self._core)
-        ids, n = word_ids(split.flatten(), parts, parts, partial(remembered, self.words, make=self._word), lower=True)
-        ends = bounds(n)[bounds(split.value_lengths().to_numpy())]
-        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+        ids, at = self.encode_all(pa.array([t or "" for t in texts], pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
 
     def pack(self, text: str | None) -> bytes:
         """The packed ids of a text."""
@@ -123,24 +125,34 @@ def word_coder(path: str) -> WordCoder:
 PIECE = "struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 
 
+def cut_pieces(ids: np.ndarray, at: np.ndarray, capacity: int, end_id: int) -> pa.ListArray:
+    """The pieces of texts whose ids stand at ``at`` in ``ids``, each with ``end_id`` behind."""
+    length = np.diff(at) + 1
+    n = -(-length // capacity)
+    first = bounds(n)
+    text = np.repeat(np.arange(len(n)), n)
+    piece = np.arange(first[-1]) - first[text]
+    start = piece * capacity
+    size = np.minimum(length[text] - start, capacity)
+    end, raw = np.asarray([end_id], dtype="<u4").tobytes(), memoryview(ids).cast("B")
+    begin = 4 * (at[:-1][text] + start)
+    stop = np.minimum(begin + 4 * size, 4 * at[1:][text])  # the last piece ends with the end token, which is not in ids
+    crc = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), stop.tolist())]
+    for last in (first[1:] - 1).tolist():
+        crc[last] = zlib.crc32(end, crc[last])
+    columns = [pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64())]
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays(columns, ["piece", "start", "length", "ids_crc32"]))
+
+
 def pieces(text: Column, path: str, capacity: int, end_id: int) -> Column:
     """Array of a document's pieces: number, start, length and CRC-32 of its ids."""
 
-    @F.pandas_udf(T.ArrayType(T._parse_datatype_string(PIECE)))
-    def cut(s: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T._parse_datatype_string(PIECE)))
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lean("packing")
-        coder, end = word_coder(path), np.asarray([end_id], dtype="<u4").tobytes()
-        out = []
-        for raw in coder.pack_all(s.tolist()):
-            raw += end
-            step = 4 * capacity
-            out.append(
-                [
-                    {"piece": i, "start": i * capacity, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
-                    for i, part in enumerate(raw[a : a + step] for a in range(0, len(raw), step))
-                ]
-            )
-        return pd.Series(out)
+        coder = word_coder(path)
+        for texts in together(batches, BATCH_BYTES):
+            yield cut_pieces(*coder.encode_all(texts), capacity, end_id)
 
     return cut(text)
 

@@ -3,11 +3,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sitelens.llm import packing as pk
+from sitelens.llm.batch_words import remembered, together
+from sitelens.llm.common import Recent
 from sitelens.llm.q_pack import CAPACITY, pack_documents
 from tests.llm.helpers import awkward, frame
 
@@ -99,3 +102,36 @@ def test_a_batch_asks_the_library_once_for_each_distinct_part():
     c.model = Counting()
     c.pack_all([None, "Anhe thonre, THONRE. anhe$$$ anhe! " * 50, "anhe"])
     assert sorted(asked) == sorted(["anhe", "thonre", ",", ".", "$$$", "!"])
+
+
+def test_neighbouring_batches_are_encoded_together():
+    batches = [pa.array(t, pa.string()) for t in (["anhe thonre", None], [], ["thonre, anhe"], ["a" * 100], ["anhe"])]
+    joined = [x.to_pylist() for x in together(iter(batches), 80)]
+    assert joined == [["anhe thonre", "", "thonre, anhe", "a" * 100], ["anhe"]]
+    assert list(together(iter([]), 80)) == []
+
+
+def test_cut_pieces_as_one_by_one():
+    lengths, capacity, end = [0, 3, 4, 5, 0, 7, 8, 9, 1], 4, 1
+    ids = np.arange(100, 100 + sum(lengths), dtype="<u4")
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    want = []
+    for a, b in zip(at, at[1:]):
+        whole = np.append(ids[a:b], np.uint32(end)).astype("<u4")
+        parts = [whole[k : k + capacity] for k in range(0, len(whole), capacity)]
+        want.append([{"piece": i, "start": i * capacity, "length": len(x), "ids_crc32": zlib.crc32(x.tobytes())} for i, x in enumerate(parts)])
+    assert pk.cut_pieces(ids, at, capacity, end).to_pylist() == want
+    assert pk.cut_pieces(ids[:0], at[:1], capacity, end).to_pylist() == []
+
+
+def test_a_memo_keeps_what_was_used_lately():
+    memo, made = Recent(2), []
+
+    def make(keys):
+        made.extend(keys)
+        return [k.encode() for k in keys]
+
+    for keys in (["a", "b"], ["c", "long"], ["a", "c"], ["a", "d"], ["e"], ["a", "long"]):
+        assert remembered(memo, keys, make, 3) == [k.encode() for k in keys]
+    assert made == ["a", "b", "c", "long", "d", "e", "long"]
+    assert len(memo.young) + len(memo.old) <= 8
