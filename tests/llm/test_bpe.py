@@ -1,4 +1,8 @@
+import random
+
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -57,3 +61,32 @@ def test_a_batch_encodes_each_distinct_piece_once():
     c.encode_piece = lambda raw: (asked.append(raw), plain(raw))[1]
     c.encode_all(["start " + "anhe thonre, thonre. anhe$$$ anhe! " * 50 + "end"] * 3)
     assert len(asked) == len(set(asked)) == 8
+
+
+def test_each_row_is_encoded_once_where_its_ids_are_decoded_too(spark, tmp_path, capfd):
+    from sitelens.llm.q_bpe import op4
+    from tests.llm.helpers import written
+
+    op4(spark, written(spark, tmp_path, documents=frame(spark))).explain()
+    evals = [line for line in capfd.readouterr().out.splitlines() if "ArrowEvalPython [" in line]
+    assert sum(line.count("bpe_encode(") for line in evals) == 1 and sum(line.count("bpe_decode(") for line in evals) == 1
+
+
+def test_many_new_pieces_are_merged_in_step(lib):
+    rng = random.Random(5)
+    words = list(dict.fromkeys("".join(rng.choice("abcdeéioßnrst的") for _ in range(rng.randint(1, 14))) for _ in range(3000)))
+    c = bpe.BytePairCoder(bpe.read_ranks(PATH), P.PATTERN)
+    one, merged, step = c.encode_piece, [], c.merges.packed
+    c.merges.packed = lambda raws: (merged.extend(raws), step(raws))[1]
+    c.encode_piece = lambda raw: one(raw) if raw in c.ranks or len(raw) > bpe.MATRIX_BYTES or not raw.startswith(b" ") else 1 / 0
+    text = "start " + " ".join(words + words)
+    assert c.encode(text) == lib.encode_ordinary(text)
+    assert len(merged) == len(set(merged)) > bpe.MATRIX_PIECES
+    assert [np.frombuffer(x, "<u4").tolist() for x in step([b"a", b"aaaaaaa", b"zq" * 9])] == [list(one(x)) for x in (b"a", b"aaaaaaa", b"zq" * 9)]
+
+
+def test_ids_that_are_no_tokens_are_refused():
+    t = bpe.tokens(PATH)
+    with pytest.raises((ValueError, IndexError)):
+        t.join(pa.array([0, len(t.bytes)]), np.asarray([0, 2]))
+    assert t.join(pa.array([], pa.int32()), np.asarray([0, 0])).to_pylist() == [b""]
