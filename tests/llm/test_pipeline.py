@@ -17,7 +17,7 @@ def test_queries_with_sql(spark, duck, name):
 
 def test_every_operator_is_registered():
     names = [q for q in E.queries() if q.startswith("op") and q[2].isdigit()]
-    assert {int(q[2:].split("_")[0]) for q in names} == set(range(1, 11)) and "pipeline" in E.queries()
+    assert {int(q[2:].split("_")[0]) for q in names} == set(range(1, 14)) and "pipeline" in E.queries()
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
